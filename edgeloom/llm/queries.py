@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, sharding, tokencount
+from . import langid, media, mixing, packing, quality, sharding, tokencount
 from .common import documents
 
 
@@ -36,6 +36,12 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.judge(documents(spark, sf_dir), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(documents(spark, sf_dir), tokenizer_path(), keep={"ids_crc32": F.crc32("ids")})
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -48,4 +54,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_langid, op6_media, op7_tokens, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
