@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, quality, sharding, tokencount
+from . import langid, media, mixing, packing, pii, quality, sharding, tokencount
 from .common import documents
 
 
@@ -19,6 +19,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    base = {k: F.col(f"{k}_base") for k in pii.KINDS}
+    every = {k: F.col(f"{k}_spans") for k in pii.KINDS}
+    return found.select(
+        "doc_id",
+        *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.digest_line(base).cast("binary"), 256).alias("base_sha256"),
+        pii.digest_line(every).alias("spans"),
+    )
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
@@ -54,4 +66,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_pii, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
