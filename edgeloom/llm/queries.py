@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, pii, quality, sharding, tokencount
+from . import langid, media, mixing, packing, pii, quality, sharding, simhash, tokencount
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,4 +70,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_pii, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
