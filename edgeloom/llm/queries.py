@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, pii, quality, sharding, simhash, tokencount
+from . import langid, media, mixing, packing, pii, quality, sharding, simhash, suffixes, tokencount
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
@@ -70,4 +74,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op4_suffixes, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
