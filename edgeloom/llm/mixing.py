@@ -41,7 +41,7 @@ def fill_levels(sources: DataFrame, epochs: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, part, taken per row of docs.
+    """doc_id, text_hash, source, size, source_size, target, copies, part, taken per row of docs.
 
     copies: times the whole document is taken; part: words of it taken once more;
     taken = copies * size + part. Sources by code point, null last, weigh `weights`
@@ -52,6 +52,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("text_hash"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("place"),
     )
     rows = cut(rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS)))
@@ -66,13 +67,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
     cells = cells.join(known, F.col("source").eqNullSafe(F.col("k_source"))).drop("k_source", "cell_size")
     cells = cells.withColumnsRenamed({"source": "c_source", "bucket": "c_bucket"})
     rows = rows.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("cell_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - start))
     rows = rows.withColumn("part", part.cast("long"))
     full = (F.col("part") == F.col("size")) & (F.col("size") > 0)
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "text_hash", "source", "size", "source_size", "target",
         (F.col("copies") + full.cast("int")).alias("copies"), F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long").alias("part"),
         (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"),
     )
@@ -94,15 +95,19 @@ def _number(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return placed.select("source", "source_size", F.element_at(turn, ((F.col("before") + F.col("place")) % len(weights) + 1).cast("int")).cast("long").alias("weight"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, seed_cols: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
-    """docs with every document as often as mixed says; ids must be unique.
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every row as often as mixed says; rows are told apart by id and text.
 
-    A part becomes one more row that holds the document's first `part` words.
+    A part becomes one more row that holds the document's first `part` words. Rows
+    equal in id and text share their copies: together they come as often as mixed says.
     """
-    take = mixed.where("copies > 0 or part > 0").select(F.col("doc_id").alias("m_id"), "copies", "part")
-    id_col, text_col = seed_cols
-    rows = docs.join(take, F.col(id_col).eqNullSafe(F.col("m_id")))
-    times = F.when(F.col("part") > 0, F.col("copies") + 1).otherwise(F.col("copies"))
+    share = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.sum("copies").alias("copies"), F.sum("part").alias("part"), F.count("*").alias("rows"))
+    share = share.where("copies > 0 or part > 0")
+    rows = docs.join(share, F.col(id_col).eqNullSafe(F.col("m_id")) & (F.xxhash64(text_col) == F.col("m_hash")))
+    repeated = share.where("rows > 1").limit(1).count() > 0
+    if repeated:
+        rows = rows.dropDuplicates([id_col, "m_hash"])
+    times = F.when(F.col("part") > 0, F.col("copies") + 1).otherwise(F.col("copies")).cast("int")
     rows = rows.withColumn("m_turn", F.explode(F.sequence(F.lit(1), times)))
     head = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")))
     text = F.when(F.col("m_turn") > F.col("copies"), head).otherwise(F.col(text_col))

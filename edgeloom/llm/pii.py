@@ -262,18 +262,24 @@ def added(kind: str, text: Column, base: Column) -> Column:
     return F.when(text.rlike(NEED[kind]), F.filter(spans_of(text, GENERATE[kind]), good)).otherwise(none)
 
 
+def with_added(kind: str, text: Column, base: Column) -> Column:
+    """base and what is added to it, in order; base is bound once."""
+    return let(base, lambda b: F.array_sort(F.concat(b, added(kind, text, b))))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, <kind>_base and <kind>_spans (array<struct<s,e,m>>) for every row.
+    """doc_id, text, document (the row itself), <kind>_base and <kind>_spans
+    (array<struct<s,e,m>>) for every row.
 
     Offsets are code points of the whole text. Null texts are empty. Null and
     repeated ids are ordinary rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("document"))
     base = {k: _kept(k) for k in KINDS}
     base["email"] = F.when(F.col("text").contains("@"), base["email"]).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
-    rows = rows.select("doc_id", "text", *[base[k].alias(f"{k}_base") for k in KINDS])
-    every = {k: F.array_sort(F.concat(F.col(f"{k}_base"), added(k, F.col("text"), F.col(f"{k}_base")))) for k in KINDS}
-    return rows.select("doc_id", "text", *[f"{k}_base" for k in KINDS], *[every[k].alias(f"{k}_spans") for k in KINDS])
+    rows = rows.select("doc_id", "text", "document", *[base[k].alias(f"{k}_base") for k in KINDS])
+    every = {k: with_added(k, F.col("text"), F.col(f"{k}_base")) for k in KINDS}
+    return rows.select("doc_id", "text", "document", *[f"{k}_base" for k in KINDS], *[every[k].alias(f"{k}_spans") for k in KINDS])
 
 
 def _kept(kind: str) -> Column:

@@ -16,7 +16,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(documents(spark, sf_dir))
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

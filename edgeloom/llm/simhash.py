@@ -55,7 +55,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) for every row."""
+    """doc_id, text_hash, fp (the fingerprint's 64 bits as a signed long) for every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,10 +63,11 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
         for batch in batches:
             for piece in slices(batch):
                 found = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in piece.column(1)], np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def masks(budget: int, agree: int) -> list[int]:
@@ -206,7 +207,7 @@ def links(prints: DataFrame, budget: int = 4, agree: int = 2, key_rows: int = KE
 
 
 def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id (least doc_id reachable over links) for every row.
+    """doc_id, text_hash, fingerprint, group, component_id (least doc_id reachable over links) for every row.
 
     Texts without words have fingerprint 0 and are linked like any others. Null ids
     are ordinary rows; a group of null ids alone has component null. Repeated rows
@@ -217,5 +218,25 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str =
     groups = components(links(prints, budget))
     marked = cut(prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
     least = marked.groupBy("group").agg(F.min("least").alias("component_id")).withColumnRenamed("group", "g")
-    known = marked.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("k"), "component_id")
-    return rows.join(known, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = marked.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("k"), "group", "component_id")
+    return rows.join(known, F.col("fp") == F.col("k")).select("doc_id", "text_hash", "group", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each near-duplicate group: the least id stays, null last.
+
+    Rows are told apart by id and text; of rows equal in both one stays. All columns
+    are kept as they are.
+    """
+    found = cut(near_groups(docs, words, budget, id_col, text_col).select("doc_id", "text_hash", "group"))
+    mine = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    each = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = each.groupBy(F.col("group").alias("g")).agg(F.min(mine).alias("best"))
+    judged = cut(each.join(best, F.col("group") == F.col("g")).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), (mine == F.col("best")).alias("stays"), "n"))
+    match = F.col(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_col) == F.col("r_hash"))
+    out = docs.join(judged.where(~F.col("stays")).select("r_id", "r_hash"), match, "left_anti")
+    repeated = judged.where("stays and n > 1").select("r_id", "r_hash")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, match, "left_semi").withColumn("r_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "r_hash"]).drop("r_hash")
+    return out.join(repeated, match, "left_anti").unionByName(once)
