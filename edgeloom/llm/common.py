@@ -10,32 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut, shared_dir
+
+__all__ = ["SPACE", "WORD", "cut", "documents", "let", "shared_dir", "word_count"]
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; our own only where the cluster names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and go on from the written rows.
-
-    Survives lost executors; the files go when the frame is garbage collected
-    (spark.cleaner.referenceTracking.cleanCheckpoints).
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
