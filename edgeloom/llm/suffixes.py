@@ -147,52 +147,127 @@ def deep_shallow(group: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def flagged(keys: np.ndarray, firsts: np.ndarray, segments: list[bytes]) -> list[tuple[int, int, int]]:
+_DICE = np.random.default_rng(42).integers(1, 2**63, 256 + 4 * SPAN, dtype=np.uint64) | np.uint64(1)
+
+
+class Ragged:
+    """Byte strings in one buffer."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets.astype(np.int64)
+        self.lengths = np.diff(self.offsets)
+
+    @classmethod
+    def of(cls, strings: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in strings], dtype=np.int64)]))
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of rows lie, one after another, and where each row begins among them."""
+        n = self.lengths[rows]
+        begin = np.cumsum(n) - n
+        return np.arange(int(n.sum())) + np.repeat(self.offsets[rows] - begin, n), begin
+
+    def hashes(self, chunk: int = 50_000) -> np.ndarray:
+        out = np.zeros(len(self.lengths), np.uint64)
+        for at in range(0, len(out), chunk):
+            rows = np.arange(at, min(at + chunk, len(out)))
+            where, begin = self.places(rows)
+            depth = np.arange(len(where)) - np.repeat(begin, self.lengths[rows])
+            out[rows] = np.add.reduceat(_DICE[self.data[where]] * _DICE[256 + depth % (4 * SPAN)], begin)
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray, chunk: int = 50_000) -> np.ndarray:
+        """Whether rows a and b, equally long each, hold equal bytes."""
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), chunk):
+            left, begin = self.places(a[at : at + chunk])
+            right, _ = self.places(b[at : at + chunk])
+            out[at : at + chunk] = np.logical_and.reduceat(self.data[left] == self.data[right], begin)
+        return out
+
+
+def flagged(keys: np.ndarray, firsts: np.ndarray, segments: Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last window within its segment) where an equal window of the same key
-    belongs to a smaller first document."""
-    out: list[tuple[int, int, int]] = []
-    same: dict[tuple[int, bytes], list[int]] = {}
-    for row, (key, segment) in enumerate(zip(keys.tolist(), segments, strict=True)):
-        same.setdefault((key, segment), []).append(row)
-    kept: dict[int, list[int]] = {}
-    for (key, segment), rows in same.items():
-        least = min(rows, key=lambda r: firsts[r])
-        out += [(r, 0, len(segment) - SPAN) for r in rows if firsts[r] > firsts[least]]
-        kept.setdefault(key, []).append(least)
-    some = [rows for rows in kept.values() if len(rows) > 1]
-    done = {(r) for r, _, _ in out}
-    batch, size = [], 0
-    for rows in [*some, None]:
-        if rows is not None:
-            batch.append(rows)
-            size += sum(len(segments[r]) - SPAN + 1 for r in rows)
-        if batch and (rows is None or size > 200_000):
-            out += _flag_windows(batch, firsts, segments, same, keys, done)
-            batch, size = [], 0
-    return out
-
-
-def _flag_windows(batch, firsts, segments, same, keys, done):
-    rows = [r for rows in batch for r in rows]
-    number = np.repeat(np.arange(len(batch)), [sum(len(segments[r]) - SPAN + 1 for r in rows) for rows in batch])
-    owner = np.repeat(np.array(rows), [len(segments[r]) - SPAN + 1 for r in rows])
-    place = np.concatenate([np.arange(len(segments[r]) - SPAN + 1) for r in rows])
-    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(segments[r], np.uint8), SPAN) for r in rows])
+    belongs to a smaller first document.
+
+    Equal segments are brought together by hash and compared byte by byte; should
+    two hashes collide, their segments are only compared window by window.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(keys):
+        return none, none, none
+    h = segments.hashes()
+    order = np.lexsort((firsts, h, segments.lengths, keys))
+    before, after = order[:-1], order[1:]
+    alike = (keys[before] == keys[after]) & (h[before] == h[after]) & (segments.lengths[before] == segments.lengths[after])
+    at = np.flatnonzero(alike)
+    alike[at] = segments.same(before[at], after[at])
+    kind = np.cumsum(np.concatenate([[True], ~alike])) - 1  # by place in order
+    heads = np.flatnonzero(np.concatenate([[True], ~alike]))
+    least = firsts[order[heads]]  # sorted by document within a kind
+    late = firsts[order] > least[kind]
+    rows = order[late]
+    out = [(rows, np.zeros(len(rows), np.int64), segments.lengths[rows] - SPAN)]
+    # one row stands for each kind; rows of the same document share its fate
+    twins = np.flatnonzero(~late)
+    twin_of = kind[twins]
+    head_keys = keys[order[heads]]
+    new = np.concatenate([[True], head_keys[1:] != head_keys[:-1]])
+    group = np.cumsum(new) - 1
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    sizes = segments.lengths[order[heads[several]]] - SPAN + 1
+    step = np.flatnonzero(np.concatenate([[True], group[several][1:] != group[several][:-1]])) if len(several) else none
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(step):  # whole groups, about 200,000 windows at once
+        base = ends[step[start] - 1] if step[start] else 0
+        stop = max(start + 1, int(np.searchsorted(ends[step - 1 + (step == 0)], base + 200_000)))
+        a, b = step[start], step[stop] if stop < len(step) else len(several)
+        kinds = several[a:b]
+        which, lo, hi = _flag_windows(group[kinds], order[heads[kinds]], firsts, segments)
+        if len(which):
+            chosen = kinds[which]
+            left, right = np.searchsorted(twin_of, chosen), np.searchsorted(twin_of, chosen, "right")
+            n = right - left
+            each = np.repeat(np.arange(len(chosen)), n)
+            member = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + left[each]
+            out.append((order[twins[member]], lo[each], hi[each]))
+        start = stop
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def _flag_windows(group: np.ndarray, rows: np.ndarray, firsts: np.ndarray, segments: Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in rows, first, last window) of flagged runs of windows of the rows' segments."""
+    n = segments.lengths[rows] - SPAN + 1
+    owner = np.repeat(np.arange(len(rows)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    begin = segments.offsets[rows][owner] + place
+    windows = np.lib.stride_tricks.sliding_window_view(segments.data, SPAN)[begin]
     hit = np.zeros(len(owner), bool)
-    for equal in deep_shallow(number, windows):
-        mine = firsts[owner[equal]]
+    for equal in deep_shallow(group[owner], windows):
+        mine = firsts[rows[owner[equal]]]
         hit[equal[mine > mine.min()]] = True
     at = np.flatnonzero(hit)
     if not len(at):
-        return []
+        return at, at, at
     new = np.flatnonzero(np.concatenate([[True], (owner[at][1:] != owner[at][:-1]) | (at[1:] != at[:-1] + 1)]))
     ends = np.append(new[1:], len(at)) - 1
-    out = []
-    for a, b in zip(at[new].tolist(), at[ends].tolist(), strict=True):
-        row = int(owner[a])
-        # rows with the same segment and the same first document share its fate
-        out += [(r, int(place[a]), int(place[b])) for r in same[int(keys[row]), segments[row]] if r not in done]
-    return out
+    return owner[at[new]], place[at[new]], place[at[ends]]
+
+
+def _merged_by_text(h1: np.ndarray, h2: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Per text (h1, h2): its disjoint sorted [start, end) pairs, as bytes of 32-bit numbers."""
+    order = np.lexsort((start, h2, h1))
+    h1, h2, start, end = h1[order], h2[order], start[order], end[order]
+    text = np.cumsum(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) - 1
+    lift = text.astype(np.int64) << 33  # texts apart: one running maximum serves all
+    reach = np.maximum.accumulate(end + lift)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] + lift[1:] > reach[:-1]]))
+    stop = reach[np.append(new[1:], len(start)) - 1] - lift[new]
+    pairs = np.stack([start[new], stop], axis=1).astype("<i4")
+    heads = np.flatnonzero(np.concatenate([[True], text[new][1:] != text[new][:-1]]))
+    raw, edges = pairs.tobytes(), np.append(heads, len(pairs)).tolist()
+    return h1[new[heads]], h2[new[heads]], [raw[8 * a : 8 * b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:
@@ -315,21 +390,22 @@ def _settle(segments: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        keys, h1, h2, first, at, segment = [], [], [], [], [], []
+        rest = []
         for batch in batches:
-            open_ = np.array([x.is_valid for x in batch.column(5)], bool) if batch.num_rows else np.zeros(0, bool)
-            passed = batch.filter(pa.array(~open_))
+            open_ = batch.column(5).is_valid()
+            passed = batch.filter(batch.column(5).is_null())
             if passed.num_rows:
                 yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), passed.column(6)], ["h1", "h2", "spans"])
-            rest = batch.filter(pa.array(open_))
-            for into, k in ((keys, 0), (h1, 1), (h2, 2), (first, 3), (at, 4), (segment, 5)):
-                into += rest.column(k).to_pylist()
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for row, a, b in flagged(np.array(keys, np.int64), np.array(first, np.int64), segment):
-            found.setdefault((h1[row], h2[row]), []).append((at[row] + a, at[row] + b + SPAN))
-        rows = [(x, merged(np.array(y)).astype("<i4").tobytes()) for x, y in found.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x, _ in rows], pa.int64()), pa.array([x[1] for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], ["h1", "h2", "spans"])
+            rest.append(batch.filter(open_))
+        if not sum(x.num_rows for x in rest):
+            return
+        key, h1, h2, first, at = (np.concatenate([x.column(k).to_numpy() for x in rest]) for k in range(5))
+        column = pa.concat_arrays([x.column(5).cast(pa.large_binary()) for x in rest])
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        row, a, b = flagged(key, first, Ragged(np.frombuffer(column.buffers()[2], np.uint8), offsets))
+        if len(row):
+            one, two, spans = _merged_by_text(h1[row], h2[row], at[row] + a, at[row] + b + SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(spans, pa.binary())], ["h1", "h2", "spans"])
 
     return segments.repartition("key").mapInArrow(run, "h1 long, h2 long, spans binary")
 
