@@ -72,6 +72,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ORACLES: dict[str, str] = {}
+#: Water-filling in closed form: sources by cap over weight, of which a prefix is clamped.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR))) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS sz, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER r AS k, coalesce(sum(3 * sz) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pc, coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pw, sum(sz) OVER () AS t, sum(w) OVER () AS tw FROM s WINDOW r AS (ORDER BY sz / w, source NULLS LAST)),
+f AS (SELECT min_by(t - pc, k) AS rest, min_by(tw - pw, k) AS free, min(k) AS k1 FROM o WHERE w * (t - pc) <= 3 * sz * (tw - pw)),
+g AS (SELECT source, sz, CASE WHEN k < k1 THEN CAST(3 * sz AS DOUBLE) ELSE CAST(w AS DOUBLE) * CAST(rest AS DOUBLE) / CAST(free AS DOUBLE) END AS target FROM o, f),
+h AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, CASE WHEN sz > 0 THEN CAST(round(target) AS BIGINT) // sz ELSE 0 END AS copies FROM g),
+c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, sz AS source_size, target, CAST(copies * size + greatest(0, least(size, goal - copies * sz - before)) AS BIGINT) AS taken
+FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL}
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op4_suffixes, op5_langid, op6_media, op7_tokens, op8_quality, op9_packing, op10_sharding)}
