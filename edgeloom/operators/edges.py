@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .iterate import cut
 
 COLUMNS = ["source", "target", "label", "pubmed", "experiment_type"]
 ORDER = "_ord"
@@ -59,16 +60,18 @@ def remove_rare_labels(df: DataFrame, least: int) -> DataFrame:
     return df.join(counts, F.col("label").eqNullSafe(F.col("l_label")), "left_semi")
 
 
-def _grouped(df: DataFrame, keys: list[Column]) -> DataFrame:
+def _grouped(df: DataFrame, keys: list[Column], carry: str | None = None) -> DataFrame:
     """One row per keys: sorted labels, and references in first-seen order.
 
     First per reference, then per edge: both aggregates combine before their shuffle.
+    carry: a column whose greatest value is kept.
     """
     rows = df if ORDER in df.columns else df.withColumn(ORDER, F.struct("source", "target", "label", "pubmed", "experiment_type"))
     names = [f"k{i}" for i in range(len(keys))]
+    kept = [carry] if carry else []
     a, b = canonical(F.col("source"), F.col("target"))
     rows = rows.withColumns({"source": a, "target": b}).select(
-        *[k.alias(n) for k, n in zip(keys, names, strict=True)], ORDER, T.label_list(F.col("label")).alias("labels"),
+        *[k.alias(n) for k, n in zip(keys, names, strict=True)], ORDER, *kept, T.label_list(F.col("label")).alias("labels"),
         F.posexplode_outer(T.references(F.col("pubmed"), F.col("experiment_type"))).alias("pos", "ref"),
     )
     each = rows.groupBy(*names, "ref.pmid").agg(
@@ -76,17 +79,19 @@ def _grouped(df: DataFrame, keys: list[Column]) -> DataFrame:
         F.min(ORDER).alias("first"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("ref.psimis", F.array().cast("array<string>")))))).alias("psimis"),
         F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"),
+        *[F.max(c).alias(c) for c in kept],
     )
     ref = F.struct("o", "pmid", F.coalesce(T.join_or_null(F.col("psimis"), "|"), F.lit("None")).alias("group"))
     edges = each.groupBy(*names).agg(
         F.min("first").alias(ORDER),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
         F.array_sort(F.collect_list(F.when(F.col("pmid").isNotNull(), ref))).alias("refs"),
+        *[F.max(c).alias(c) for c in kept],
     )
     return edges.select(
         F.col("k0").alias("source"), F.col("k1").alias("target"), T.join_or_null(F.col("labels")).alias("label"),
         T.join_or_null(F.transform("refs", lambda r: r["pmid"])).alias("pubmed"),
-        T.join_or_null(F.transform("refs", lambda r: r["group"])).alias("experiment_type"), ORDER,
+        T.join_or_null(F.transform("refs", lambda r: r["group"])).alias("experiment_type"), ORDER, *kept,
     )
 
 
@@ -101,11 +106,13 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     If any row has several labels, labels are taken apart, deduplicated and merged
     again, so that edges come out once.
     """
-    several = df.select(F.max(F.size(T.label_list(F.col("label")))).alias("n"))
-    apart = df.withColumn("label", F.explode_outer(T.label_list(F.col("label"))))
-    single = _grouped(apart, [F.col("source"), F.col("target"), F.col("label")])
-    key = F.when(F.coalesce(several.scalar(), F.lit(0)) <= 1, F.col("label"))
-    return _grouped(single, [F.col("source"), F.col("target"), key])
+    own = T.label_list(F.col("label"))
+    apart = df.withColumn("_several", F.size(own)).withColumn("label", F.explode_outer(own))
+    # written once: whether any row has several labels is known only after a full pass
+    single = cut(_grouped(apart, [F.col("source"), F.col("target"), F.col("label")], "_several"))
+    several = (single.agg(F.max("_several")).first()[0] or 0) > 1
+    single = single.drop("_several")
+    return merge_labels(single) if several else single
 
 
 def process(df: DataFrame, drop_nulls="default", allow_self_edges: bool = False, allow_duplicates: bool = False, exclude_labels: list[str] | None = None, min_counts: int | None = None, merge: bool = False) -> DataFrame:
@@ -130,21 +137,32 @@ def process(df: DataFrame, drop_nulls="default", allow_self_edges: bool = False,
     if exclude_labels:
         out = remove_labels(out, exclude_labels)
     if min_counts:
+        out = cut(out) if allow_duplicates else out  # read twice below
         out = remove_rare_labels(out, min_counts)
     return merge_labels(out) if merge else out
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:
-    """All rows of all frames; within the result the frames follow each other in order."""
-    kept = [f.withColumn(ORDER, F.struct(F.lit(k).alias("frame"), F.col(ORDER).alias("row"))) if all(ORDER in g.columns for g in frames) else f.drop(ORDER) for k, f in enumerate(frames)]
-    return reduce(DataFrame.unionByName, kept)
+    """All rows of all frames; in the result's order the frames follow each other.
+
+    Orders are numbers or arrays of numbers, or of one type throughout; otherwise
+    the result has none.
+    """
+    kinds = {dict(f.dtypes).get(ORDER) for f in frames}
+    if kinds <= {"bigint", "array<bigint>"}:
+        place = lambda f, k: F.concat(F.array(F.lit(k).cast("long")), F.col(ORDER) if dict(f.dtypes)[ORDER] != "bigint" else F.array(ORDER))
+    elif len(kinds) == 1 and None not in kinds:
+        place = lambda f, k: F.struct(F.lit(k).alias("frame"), F.col(ORDER).alias("row"))
+    else:
+        return reduce(DataFrame.unionByName, [f.drop(ORDER) for f in frames])
+    return reduce(DataFrame.unionByName, [f.withColumn(ORDER, place(f, k)) for k, f in enumerate(frames)])
 
 
 def remove_common(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of a alone, of b alone, and the common edges' rows of both."""
     ends = ["source", "target"]
     mine, other = a.select(*ends).distinct(), b.select(*ends).distinct()
-    common = a.join(other, ends, "left_semi").unionByName(b.join(mine, ends, "left_semi"))
+    common = concat([a.join(other, ends, "left_semi"), b.join(mine, ends, "left_semi")])
     return a.join(other, ends, "left_anti"), b.join(mine, ends, "left_anti"), common
 
 
