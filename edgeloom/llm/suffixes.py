@@ -13,14 +13,18 @@ windows have equal minimizers. Four passes:
    Equal windows lie together; all but those of the least document are flagged;
 4. flagged windows go back to their text, which is cut.
 
-Copies of a whole text are represented by one of them. Segments equal within a batch
-are settled there and only the least document's travels on, so that a passage that
-occurs in a third of all documents sends one row per batch, not one per document.
+Copies of a whole text are represented by one of them. What is equal within a batch is
+settled there and travels on once: a hash that two texts of a batch share is known to
+be shared, and of equal segments only the least document's goes on. A minimizer in very
+many texts, such as one at the edge of a common line whose windows differ from text to
+text, sends its windows one by one by their own hash. So no task meets all texts that
+hold a passage, only one row per batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +39,12 @@ WIDTH = SPAN - K + 1
 #: Depth of the multikey quicksort, in bytes; a multiple of its 8-byte symbols.
 SHALLOW = 24
 LAST = 2**63 - 1
+#: Texts from which on a minimizer is hot: its windows are dealt one by one. So many
+#: rows (about 15 MB) are no burden for one task.
+HOT = 100_000
+#: Hot minimizers that may be broadcast (8 bytes each); more are marked by a join.
+HOT_KEYS = 200_000
+_MARK = 1 << 62
 _LOW40, _LOW48 = (1 << 40) - 1, (1 << 48) - 1
 
 
@@ -278,8 +288,19 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], axis=1)
 
 
-def _shared_keys(texts: DataFrame, ranges: int) -> DataFrame:
-    """id48, key: the shared minimizers of each text; texts has h1 and text."""
+def _shared_keys(texts: DataFrame, ranges: int, hot: int) -> DataFrame:
+    """id48, key: the shared minimizers of each text; texts has h1 and text.
+
+    A key in `hot` texts or more comes once more with a negative id48.
+    """
+
+    def narrow(x: np.ndarray, width: int) -> np.ndarray:
+        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+    def wide(raw: bytes, width: int) -> np.ndarray:
+        out = np.zeros((len(raw) // width, 8), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        return out.view("<u8").ravel()
 
     def send(batches):
         import pyarrow as pa
@@ -297,91 +318,142 @@ def _shared_keys(texts: DataFrame, ranges: int) -> DataFrame:
             key, owner = np.concatenate(found), np.concatenate(ids)
             order = np.lexsort((owner, key))
             key, owner = key[order], owner[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            key, owner = key[once], owner[once]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(heads, len(key)))
+            known = np.repeat(n > 1, n)  # shared within the batch: nothing to ask
+            parts, lows, whos, sizes = [], [], [], []
+            if known.any():
+                spread = (owner[known] % np.uint64(ranges)).astype(np.int64)
+                by = np.argsort(spread, kind="stable")
+                k, o, spread = key[known][by], owner[known][by], spread[by]
+                cuts = np.flatnonzero(np.concatenate([[True], spread[1:] != spread[:-1]]))
+                for s, e in zip(cuts, np.append(cuts[1:], len(k)), strict=True):
+                    parts.append(-1 - int(spread[s]))
+                    lows.append(k[s:e].tobytes())
+                    whos.append(narrow(o[s:e], 6).tobytes())
+                    sizes.append(b"")
+            key, owner = key[heads], owner[heads]
             part = (key >> np.uint64(40)).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            ends = np.append(starts[1:], len(key))
-            low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            who = np.ascontiguousarray(owner.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[starts], pa.int64()), pa.array([low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()), pa.array([who[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())],
-                ["part", "low", "who"],
-            )
-
-    def wide(raw: bytes, width: int) -> np.ndarray:
-        out = np.zeros((len(raw) // width, 8), np.uint8)
-        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-        return out.view("<u8").ravel()
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            low, who, size = narrow(key, 5), narrow(owner, 6), np.minimum(n, 65535).astype("<u2")
+            for s, e in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                parts.append(int(part[s]))
+                lows.append(low[s:e].tobytes())
+                whos.append(who[s:e].tobytes())
+                sizes.append(size[s:e].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *[pa.array(x, pa.binary()) for x in (lows, whos, sizes)]], ["part", "low", "who", "size"])
 
     def meet(batches):
         import pyarrow as pa
 
-        keys, owners = [], []
+        def give(owner: np.ndarray, key: np.ndarray):
+            for at in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + 100_000].astype(np.int64)), pa.array(key[at : at + 100_000].astype(np.int64))], ["id48", "key"])
+
+        keys, owners, sizes = [], [], []
         for batch in batches:
-            for part, low, who in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for part, low, who, size in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part < 0:
+                    yield from give(wide(who, 6), np.frombuffer(low, np.uint64))
+                    continue
                 keys.append(wide(low, 5) | np.uint64(part << 40))
                 owners.append(wide(who, 6))
+                sizes.append(np.frombuffer(size, "<u2"))
         if not keys:
             return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
+        key, owner, n = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes).astype(np.int64)
         order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
+        key, owner, n = key[order], owner[order], n[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
-        several = np.repeat(owner[starts] != owner[ends - 1], ends - starts)
-        several &= np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # a text counts once
-        key, owner = key[several].view(np.int64), owner[several].view(np.int64)
-        for at in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + 100_000]), pa.array(key[at : at + 100_000])], ["id48", "key"])
-
-    packed = texts.select("h1", "text").mapInArrow(send, "part long, low binary, who binary")
+        total = np.add.reduceat(n, starts)
+        shared = (owner[starts] != owner[ends - 1]) | (np.maximum.reduceat(n, starts) > 1)
+        ask = np.repeat(shared, ends - starts) & (n == 1)
+        ask &= np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # a text counts once
+        yield from give(owner[ask], key[ask])
+        many = key[starts[total >= hot]]
+        yield from give(-1 - (many % np.uint64(4096)).astype(np.int64), many)
+
+    packed = texts.select("h1", "text").mapInArrow(send, "part long, low binary, who binary, size binary")
     return packed.repartition("part").mapInArrow(meet, "id48 long, key long")
 
 
-def _segments(rows: DataFrame, ranges: int) -> DataFrame:
+def _marked(shared: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """shared(id48, keys) of texts, and the sorted hot keys; None where the hot keys are
+    too many to broadcast and are marked in keys instead."""
+    own, hot = shared.where("id48 >= 0"), shared.where("id48 < 0").select(F.explode("keys").alias("hot"))
+    if hot.count() <= HOT_KEYS:
+        return own, np.sort(np.array([r[0] for r in hot.collect()], np.int64))
+    pairs = own.select("id48", F.explode("keys").alias("key")).join(hot, F.col("key") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.col("key") + F.lit(_MARK))
+    return pairs.groupBy("id48").agg(F.collect_list(key).alias("keys")), None
+
+
+def _segments(rows: DataFrame, ranges: int, hot: np.ndarray | None) -> DataFrame:
     """Segments of texts (h1, h2, first, text, keys) at their shared minimizers.
 
-    key, h1, h2, first, at, segment: what pass 3 sorts. Rows without a segment carry,
-    in spans, what was settled within a batch.
+    key, h1, h2, first, at, segment: what pass 3 sorts, with all places (at) of the segment
+    in the text; at hot keys each window is a segment under a key of its own. Rows
+    without a segment carry, in spans, what was settled within a batch.
     """
 
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
             for piece in slices(batch, 2048):
-                names = ("h1", "h2", "first", "text", "keys")
-                h1, h2, first, texts, keys = (piece.column(k) for k in range(len(names)))
+                h1, h2, first, texts, keys = (piece.column(k) for k in range(5))
                 ids = list(zip(h1.to_pylist(), h2.to_pylist(), first.to_pylist(), strict=True))
                 best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+                windows: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
                 spans: dict[int, list[tuple[int, int]]] = {}
                 for row, text in enumerate(texts):
                     raw = text.as_buffer().to_pybytes()
                     g, lo, hi = minimizers(np.frombuffer(raw, np.uint8))
                     key = hash_keys(g, ranges).view(np.int64)
-                    for k in np.flatnonzero(np.isin(key, keys[row].values.to_numpy())).tolist():
-                        best.setdefault((int(key[k]), raw[lo[k] : hi[k] + SPAN]), []).append((row, int(lo[k])))
+                    mine = keys[row].values.to_numpy()
+                    at = np.flatnonzero(np.isin(key, mine & (_MARK - 1)))
+                    is_hot = np.isin(key[at], hot) if hot is not None else np.isin(key[at] | _MARK, mine)
+                    for k, x in zip(at.tolist(), is_hot.tolist(), strict=True):
+                        into = (-1 - int(key[k])) if x else int(key[k])
+                        best.setdefault((into, raw[lo[k] : hi[k] + SPAN]), []).append((row, int(lo[k])))
                 out = []
-                for (key, segment), where in best.items():
-                    least = min(ids[row][2] for row, _ in where)
-                    sent = False
+
+                def settle(segment: bytes, where: list[tuple[int, int]]) -> dict[int, list[int]]:
+                    """Flags all but the least document's; gives the places that must travel on."""
+                    least, stay = min(ids[row][2] for row, _ in where), {}
                     for row, lo in where:
                         if ids[row][2] > least:
                             spans.setdefault(row, []).append((lo, lo + len(segment)))
-                        elif not sent or ids[row] != sent[0] or lo != sent[1]:
-                            out.append((key, *ids[row], lo, segment))
-                            sent = (ids[row], lo)
+                        else:
+                            stay.setdefault(row, []).append(lo)
+                    return stay
+
+                for (key, segment), where in best.items():
+                    for row, los in settle(segment, where).items():
+                        if key >= 0:
+                            out.append((key, *ids[row], array("i", los).tobytes(), segment))
+                            continue
+                        for k in range(len(segment) - SPAN + 1):
+                            windows.setdefault((key, segment[k : k + SPAN]), []).extend((row, lo + k) for lo in los)
+                for (key, window), where in windows.items():
+                    own = xxh64_intdigest(window, key & LAST) & LAST
+                    out += [(own, *ids[row], array("i", los).tobytes(), window) for row, los in settle(window, where).items()]
                 done = [(ids[row], merged(np.array(x)).astype("<i4").tobytes()) for row, x in spans.items()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[pa.array([o[k] for o in out] + [i[0] if k == 0 else i[k - 1] for i, _ in done], pa.int64()) for k in range(4)],
-                        pa.array([o[4] for o in out] + [0] * len(done), pa.int32()),
+                        pa.array([o[4] for o in out] + [None] * len(done), pa.binary()),
                         pa.array([o[5] for o in out] + [None] * len(done), pa.binary()),
                         pa.array([None] * len(out) + [x for _, x in done], pa.binary()),
                     ],
                     ["key", "h1", "h2", "first", "at", "segment", "spans"],
                 )
 
-    return rows.select("h1", "h2", "first", F.col("text"), "keys").mapInArrow(run, "key long, h1 long, h2 long, first long, at int, segment binary, spans binary")
+    return rows.select("h1", "h2", "first", F.col("text"), "keys").mapInArrow(run, "key long, h1 long, h2 long, first long, at binary, segment binary, spans binary")
 
 
 def _settle(segments: DataFrame) -> DataFrame:
@@ -399,12 +471,20 @@ def _settle(segments: DataFrame) -> DataFrame:
             rest.append(batch.filter(open_))
         if not sum(x.num_rows for x in rest):
             return
-        key, h1, h2, first, at = (np.concatenate([x.column(k).to_numpy() for x in rest]) for k in range(5))
-        column = pa.concat_arrays([x.column(5).cast(pa.large_binary()) for x in rest])
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        row, a, b = flagged(key, first, Ragged(np.frombuffer(column.buffers()[2], np.uint8), offsets))
+        key, h1, h2, first = (np.concatenate([x.column(k).to_numpy() for x in rest]) for k in range(4))
+
+        def ragged(k: int) -> Ragged:
+            column = pa.concat_arrays([x.column(k).cast(pa.large_binary()) for x in rest])
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            return Ragged(np.frombuffer(column.buffers()[2], np.uint8), offsets)
+
+        places = ragged(4)
+        row, a, b = flagged(key, first, ragged(5))
         if len(row):
-            one, two, spans = _merged_by_text(h1[row], h2[row], at[row] + a, at[row] + b + SPAN)
+            raw, _ = places.places(row)
+            at, n = places.data[raw].view("<i4").astype(np.int64), places.lengths[row] // 4
+            row, a, b = np.repeat(row, n), np.repeat(a, n), np.repeat(b, n)
+            one, two, spans = _merged_by_text(h1[row], h2[row], at + a, at + b + SPAN)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(spans, pa.binary())], ["h1", "h2", "spans"])
 
     return segments.repartition("key").mapInArrow(run, "h1 long, h2 long, spans binary")
@@ -432,7 +512,7 @@ def _cut_texts(rows: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "text", "lists").mapInArrow(run, "h1 long, h2 long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, digest: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left, for every row of docs.
 
     kept (binary) holds the remaining bytes, or kept_sha256 their digest where digest
@@ -450,11 +530,11 @@ def remove_repeats(docs: DataFrame, digest: bool = False, id_col: str = "doc_id"
         narrow = cut(narrow)
     long = F.col("n_bytes") >= SPAN
     firsts = narrow.where(long).groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    shared = _shared_keys(rows.where(long), ranges).groupBy("id48").agg(F.collect_list("key").alias("keys"))
-    known = cut(firsts.withColumn("id48", F.col("h1").bitwiseAND(_LOW48)).join(shared, "id48").drop("id48"))
+    shared, hot_keys = _marked(cut(_shared_keys(rows.where(long), ranges, hot).groupBy("id48").agg(F.collect_list("key").alias("keys"))))
+    known = firsts.withColumn("id48", F.col("h1").bitwiseAND(_LOW48)).join(shared, "id48").drop("id48")
 
     texts = rows.where(long).select("h1", "h2", "text").dropDuplicates(["h1", "h2"])  # one exchange, used twice
-    spans = _settle(_segments(texts.join(known, ["h1", "h2"]), ranges))
+    spans = _settle(_segments(texts.join(known, ["h1", "h2"]), ranges, hot_keys))
     lists = spans.groupBy("h1", "h2").agg(F.collect_list("spans").alias("lists"))
     left = _cut_texts(texts.join(lists, ["h1", "h2"]))
     left = left.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "n_removed", "n_spans", (F.sha2("kept", 256) if digest else F.col("kept")).alias("kept"))
