@@ -260,14 +260,16 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffixes.remove_repeats(empty, digest=True).count() == 0
 
 
-def test_suffix_dedup_with_common_passages(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 20, suffixes.HOT])
+def test_suffix_dedup_with_common_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_KEYS", 0 if hot == 20 else 1000)  # 20: hot keys by join
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4)))
     line = " ".join(word() for _ in range(40))
     rows = [(k, " ".join(word() for _ in range(rnd.randint(5, 60))) + line[rnd.randint(0, 30) :] + " ".join(word() for _ in range(rnd.randint(0, 40)))) for k in range(60)]
     want = brute_removed(rows)
     df = frame(spark, rows).repartition(4)
-    assert counted(map(tuple, suffixes.remove_repeats(df, digest=True).collect())) == want
+    assert counted(map(tuple, suffixes.remove_repeats(df, digest=True, hot=hot).collect())) == want
 
 
 def test_deep_shallow_sets():
