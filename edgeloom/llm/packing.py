@@ -22,6 +22,8 @@ from .wordtable import WordTable, slices
 
 #: A character that is a token of its own between spaces; words that hold it go apart.
 SEPARATOR = "\x01"
+#: How a vocabulary marks the last token of a pre-token.
+WORD_END = "</w>"
 #: Rows that one rank bucket of one length holds on average, at most.
 BUCKET_ROWS = 250_000
 
@@ -110,6 +112,13 @@ def assign(pieces: DataFrame, window: int, tie: list[str], length: str = "length
     )
 
 
+def _pretokens(word: str) -> int:
+    """1 for Latin-1 letters, 2 with a stop or comma after them, 0 for anything else."""
+    if word[-1] in ".,":
+        return 2 if word[:-1].isalpha() and max(word) < "\u0100" else 0
+    return 1 if word.isalpha() and max(word) < "\u0100" else 0
+
+
 @lru_cache(maxsize=2)
 def _ids(path: str) -> WordTable:
     import os
@@ -120,22 +129,46 @@ def _ids(path: str) -> WordTable:
     tokenizer = Tokenizer.from_file(path)
 
     mark = tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+    vocabulary = tokenizer.get_vocab()
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
-    def apart(words):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32)
+    def lines(words, between):
+        texts = [between.join(words[k : k + 64]) + between for k in range(0, len(words), 64)]
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]])
 
-    def encode(words):
-        """Many words in one call, SEPARATOR between them; its id marks where they end."""
-        joined = f" {SEPARATOR} "
+    def apart(words):
+        """Any words: with SEPARATOR between them, or one by one if that can't tell them apart."""
         if len(mark) != 1 or any(SEPARATOR in w for w in words):
-            return apart(words)
-        lines = [joined.join(words[k : k + 64]) + joined for k in range(0, len(words), 64)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32)
+        flat = lines(words, f" {SEPARATOR} ")
         ends = np.flatnonzero(flat == mark[0])
         return np.diff(ends, prepend=-1) - 1, np.delete(flat, ends)
 
-    return WordTable(encode, 600_000)
+    def encode(words):
+        """Latin-1 letters, at most a stop or comma after them, are one or two pre-tokens,
+        whose last tokens are marked in the vocabulary; other words go apart."""
+        kinds = np.array([_pretokens(w) for w in words])
+        plain = np.flatnonzero(kinds)
+        flat = lines([words[k] for k in plain.tolist()], " ")
+        ends = np.flatnonzero(ends_word[flat])
+        last = np.cumsum(kinds[plain]) - 1
+        if len(ends) != (last[-1] + 1 if len(last) else 0):
+            return apart(words)  # a vocabulary that marks no word ends
+        lengths = np.zeros(len(words), np.int64)
+        lengths[plain] = np.diff(ends[last], prepend=-1)
+        others = np.flatnonzero(kinds == 0)
+        if not len(others):
+            return lengths, flat
+        odd, more = apart([words[k] for k in others.tolist()])
+        lengths[others] = odd
+        out = np.zeros(len(flat) + len(more), np.uint32)
+        from_plain = np.repeat(kinds > 0, lengths)
+        out[from_plain], out[~from_plain] = flat, more
+        return lengths, out
+
+    return WordTable(encode, 400_000, fold=True)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
 
+def folded(text: str | None) -> str | None:
+    """A text with the same tokens in a vocabulary that lower-cases, but fewer different words.
+
+    Latin-1 texts are lower-cased (letter by letter there, and stable under NFC). Texts
+    that may hold special tokens, whose case counts, stay as they are.
+    """
+    if not text or "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class _Numbers(dict):
     """word -> number, in order of first sight; new words are remembered."""
 
@@ -39,14 +55,14 @@ class _Numbers(dict):
 
 
 class WordTable:
-    """encode(list of words) -> (lengths, flat values); kept for at most limit words.
+    """encode(list of words) -> (lengths, flat values); kept for about limit words.
 
-    The limit bounds memory only: a full table is emptied between batches and the
-    words are encoded again, so results never depend on it.
+    The limit bounds memory only: a full table keeps its most used words, others are
+    encoded again when they come back, so results never depend on it.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 300_000, fold: bool = False):
+        self.encode, self.limit, self.fold = encode, limit, fold
         self.clear()
 
     def clear(self) -> None:
@@ -54,18 +70,37 @@ class WordTable:
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keep words used three times or more, at most half of the limit."""
+        kept = np.flatnonzero(self.uses >= 3)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.limit // 2]])
+        words, lengths, starts = list(self.numbers), self.lengths[kept], self.starts[kept]
+        self.numbers = _Numbers()
+        self.numbers.update((words[k], n) for n, k in enumerate(kept.tolist()))
+        new = np.cumsum(lengths) - lengths
+        if len(self.flat):
+            self.flat = self.flat[np.arange(int(lengths.sum())) + np.repeat(starts - new, lengths)]
+            self.starts = new
+        else:
+            self.starts = starts
+        self.lengths, self.uses = lengths, self.uses[kept] // 2
 
     def numbers_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and the number of words of each text."""
         if len(self.numbers) > self.limit:
-            self.clear()
+            self.shrink()
         get, parts, counts = self.numbers.__getitem__, [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            words = words_of(text)
+            words = words_of(folded(text) if self.fold else text)
             counts[k] = len(words)
             parts.append(np.fromiter(map(get, words), np.int64, len(words)))
         self._learn()
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), counts
+        numbers = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.uses = np.bincount(numbers, minlength=len(self.numbers)) + np.pad(self.uses, (0, len(self.numbers) - len(self.uses)))
+        return numbers, counts
 
     def _learn(self) -> None:
         fresh, self.numbers.fresh = self.numbers.fresh, []
