@@ -382,6 +382,18 @@ def test_token_counts(spark, empty):
     assert tokencount.count_tokens(empty, tokenizer_path()).count() == 0
 
 
+def test_small_word_tables_give_the_same_tokens():
+    from edgeloom.llm.wordtable import WordTable
+
+    texts = [r[1] for r in token_rows()]
+    ids, counts = packing._ids(tokenizer_path()), tokencount._table(tokenizer_path())
+    small, few = WordTable(ids.encode, 50, fold=True), WordTable(counts.encode, 50, fold=True)
+    for k in range(0, len(texts), 7):
+        flat, n = ids.token_ids(texts[k : k + 7])
+        again, m = small.token_ids(texts[k : k + 7])
+        assert flat.tolist() == again.tolist() and n.tolist() == m.tolist() == few.token_counts(texts[k : k + 7]).tolist()
+
+
 @pytest.mark.parametrize("window", [64, 4096])
 def test_packing(spark, empty, window):
     rows = token_rows()
