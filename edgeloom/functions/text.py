@@ -62,8 +62,10 @@ def format_label(c: Column) -> Column:
 
 
 def label_list(c: Column) -> Column:
-    """Sorted distinct formatted labels of a cell."""
-    return F.array_sort(F.array_distinct(F.transform(split_cell(c), format_label)))
+    """Sorted distinct formatted labels of a cell; cells with one label stay in generated code."""
+    many = F.array_sort(F.array_distinct(F.transform(split_cell(c), format_label)))
+    one = F.when(is_missing(c), F.array().cast("array<string>")).otherwise(F.array(format_label(c)))
+    return F.when(F.coalesce(F.contains(c, F.lit(",")), F.lit(False)), many).otherwise(one)
 
 
 def join_or_null(parts: Column, sep: str = ",") -> Column:
@@ -146,13 +148,19 @@ def references(pubmed: Column, psimi: Column) -> Column:
 
     Missing groups count as empty, so that fewer groups than pmids is no error.
     """
-    pmids, groups = F.split(pubmed, ","), F.split(psimi, ",")
-
-    def one(p: Column, k: Column) -> Column:
-        group = F.transform(split_cell(F.get(groups, k), "|"), F.upper)
-        return F.struct(null_of(strip(p)).alias("pmid"), group.alias("psimis"))
-
-    return F.filter(F.coalesce(F.transform(pmids, one), F.array().cast("array<struct<pmid:string,psimis:array<string>>>")), lambda r: r["pmid"].isNotNull())
+    kind = "array<struct<pmid:string,psimis:array<string>>>"
+    cells = lambda c: F.coalesce(F.split(c, ","), F.array().cast("array<string>"))
+
+    def one(x: Column) -> Column:
+        return F.struct(null_of(strip(x["p"])).alias("pmid"), F.transform(split_cell(x["g"], "|"), F.upper).alias("psimis"))
+
+    # zipped, so that each cell is split once
+    many = F.filter(F.transform(F.arrays_zip(cells(pubmed).alias("p"), cells(psimi).alias("g")), one), lambda r: r["pmid"].isNotNull())
+    has = lambda c, x: F.coalesce(F.contains(c, F.lit(x)), F.lit(False))
+    method = F.when(is_missing(psimi), F.array().cast("array<string>")).otherwise(F.array(F.upper(strip(psimi))))
+    single = F.when(is_missing(pubmed), F.array().cast(kind)).otherwise(F.array(F.struct(strip(pubmed).alias("pmid"), method.alias("psimis"))).cast(kind))
+    # one publication and one method is the common case and needs no lambda
+    return F.when(has(pubmed, ",") | has(psimi, ",") | has(psimi, "|"), many).otherwise(single)
 
 
 def references_aligned(pubmed: Column, psimi: Column) -> Column:
