@@ -230,8 +230,8 @@ def keep_one(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "do
     """
     found = cut(near_groups(docs, words, budget, id_col, text_col).select("doc_id", "text_hash", "group"))
     mine = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    each = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    best = each.groupBy(F.col("group").alias("g")).agg(F.min(mine).alias("best"))
+    each = cut(found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    best = cut(each.groupBy(F.col("group").alias("g")).agg(F.min(mine).alias("best")))  # so that a large group's join can be split
     judged = cut(each.join(best, F.col("group") == F.col("g")).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), (mine == F.col("best")).alias("stays"), "n"))
     match = F.col(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_col) == F.col("r_hash"))
     out = docs.join(judged.where(~F.col("stays")).select("r_id", "r_hash"), match, "left_anti")
