@@ -217,7 +217,7 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str =
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(prints, budget))
     marked = cut(prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
-    least = marked.groupBy("group").agg(F.min("least").alias("component_id")).withColumnRenamed("group", "g")
+    least = cut(marked.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id")))  # so that a large group's join can be split
     known = marked.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("k"), "group", "component_id")
     return rows.join(known, F.col("fp") == F.col("k")).select("doc_id", "text_hash", "group", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
