@@ -132,7 +132,7 @@ class RankMerger:
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> WordTable:
-    return WordTable(RankMerger(path).encode)
+    return WordTable(RankMerger(path).encode, fold=True)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
