@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import mixing, packing, pii, quality, simhash
+from edgeloom.llm import mixing, packing, pii, quality, similar
 from edgeloom.llm.common import cut, shared_dir
 from edgeloom.llm.queries import tokenizer_path
 
@@ -34,8 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates (similarity 0.8 of 5-word shingles) stays."""
+    return similar.keep_one(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,7 +228,12 @@ def keep_one(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "do
     Rows are told apart by id and text; of rows equal in both one stays. All columns
     are kept as they are.
     """
-    found = cut(near_groups(docs, words, budget, id_col, text_col).select("doc_id", "text_hash", "group"))
+    return keep_least(docs, near_groups(docs, words, budget, id_col, text_col), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each group of groups(doc_id, text_hash, group)."""
+    found = cut(groups.select("doc_id", "text_hash", "group"))
     mine = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     each = cut(found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     best = cut(each.groupBy(F.col("group").alias("g")).agg(F.min(mine).alias("best")))  # so that a large group's join can be split
