@@ -471,7 +471,7 @@ def vectors(spark, d):
     from pyspark.ml import Pipeline
 
     rows = labelled(spark, d)
-    return Pipeline(stages=models.vectorizer("text", size=512)).fit(rows).transform(rows)
+    return Pipeline(stages=models.vectorizer("text")).fit(rows).transform(rows)
 
 
 @query()
