@@ -51,7 +51,7 @@ HINT = {
     "email": r"(?i)mail|contact|write|reach",
     "ip": r"(?i)\bip\b|host|server|address|from|client",
     "card": r"(?i)card|visa|master|amex|credit|debit|paid|payment",
-    "phone": r"(?i)tel|phone|call|mobile|cell|fax|contact",
+    "phone": r"(?i)\b(?:tel|phone|call|mobile|cell|fax|contact)",
 }
 #: Hints that a number is something else.
 AGAINST = r"(?i)version|\bv$|isbn|order|serial|section|build|part no|id[:=#]|invoice|tracking"
@@ -164,12 +164,18 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[list[int], int]]:
             m = ".".join(str(rnd.randint(0, 255) if good else rnd.choice([rnd.randint(0, 9), rnd.randint(256, 999)])) for _ in range(4))
         elif kind == "card":
             m = card(good)
+        elif good and place < 0.4:  # without a bracket only the context tells a phone number
+            sep = rnd.choice("-. ")
+            m = sep.join([digit(rnd.randint(2, 4)), digit(3), digit(4)])
         elif good:
-            m = f"+{rnd.randint(1, 99)}{rnd.choice([' ', '-', ''])}({digit(3)}) {digit(3)}-{digit(4)}" if place < 0.7 else f"({digit(3)}) {digit(3)}-{digit(4)}"
+            m = f"+{rnd.randint(1, 99)}{rnd.choice([' ', '-', ''])}({digit(3)}) {digit(3)}-{digit(4)}" if place < 0.8 else f"({digit(3)}) {digit(3)}-{digit(4)}"
         else:
             m = f"{digit(rnd.randint(2, 4))}{rnd.choice(['-', ' ', '.'])}{digit(3)}{rnd.choice('-. ')}{digit(4)}"
         hinted = rnd.random()
-        lead = (rnd.choice(yes) if hinted < 0.4 else name() + " ") if good else (rnd.choice(no) if hinted < 0.4 else name() + " ")
+        bare = kind == "phone" and "(" not in m
+        lead = (rnd.choice(yes) if hinted < 0.4 or bare else name() + " ") if good else (rnd.choice(no) if hinted < 0.4 else name() + " ")
+        if bare and not good and hinted < 0.15:
+            lead = rnd.choice(yes) + lead
         if not good and rnd.random() < 0.25:
             lead += rnd.choice(["#", "/", "x", "."])
         out.append((_row(kind, m, lead, rnd.choice([" ", ".", ",", ""]) if good else rnd.choice([" ", ".", "x", "/", "#"])), int(good)))

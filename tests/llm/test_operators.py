@@ -224,6 +224,14 @@ def test_pii_adds_and_redacts(spark):
     assert out[2] == "" and out[3] == "plain words only"
 
 
+def test_pii_phone_without_brackets_by_context(spark):
+    yes = ["please call 555-123-4567 today", "phone: 555.123.4567", "my mobile 555 123 4567, thanks"]
+    no = ["order 555-123-4567 today", "serial 555.123.4567", "the value 555 123 4567 here", "call about order 555-123-4567"]
+    got = {r.doc_id: [x.m for x in r.phone_spans] for r in pii.find(frame(spark, list(enumerate(yes + no)))).select("doc_id", "phone_spans").collect()}
+    assert [got[k] for k in range(3)] == [["555-123-4567"], ["555.123.4567"], ["555 123 4567"]]
+    assert not any(got[k] for k in range(3, 7))
+
+
 def test_pii_models_separate_held_out_examples():
     for kind in pii.KINDS:
         trees, least = pii.model(kind)
