@@ -19,6 +19,10 @@ be shared, and of equal segments only the least document's goes on. A minimizer
 many texts, such as one at the edge of a common line whose windows differ from text to
 text, sends its windows one by one by their own hash. So no task meets all texts that
 hold a passage, only one row per batch.
+
+What decides: windows are compared byte by byte. In pass 1 a text goes by ID_BITS bits of
+its hash; texts that share these bits with another one skip that pass and send all their
+windows. Equal texts are told by a 128-bit hash and not compared by bytes.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ import hashlib
 from array import array
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, place_of, whole_keys
 from .wordtable import slices
 
 SPAN, K = 50, 16
@@ -44,8 +48,12 @@ LAST = 2**63 - 1
 HOT = 100_000
 #: Hot minimizers that may be broadcast (8 bytes each); more are marked by a join.
 HOT_KEYS = 200_000
+#: Bits of a text's hash that stand for it in pass 1, at most 48.
+ID_BITS = 48
+#: Bytes of text that one range of minimizer hashes stands for, and segments that are settled at once.
+RANGE_BYTES, AT_ONCE = 256 << 20, 200_000
 _MARK = 1 << 62
-_LOW40, _LOW48 = (1 << 40) - 1, (1 << 48) - 1
+_LOW40 = (1 << 40) - 1
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -288,10 +296,11 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], axis=1)
 
 
-def _shared_keys(texts: DataFrame, ranges: int, hot: int) -> DataFrame:
+def _shared_keys(texts: DataFrame, ranges: int, hot: int, id_mask: int) -> DataFrame:
     """id48, key: the shared minimizers of each text; texts has h1 and text.
 
-    A key in `hot` texts or more comes once more with a negative id48.
+    A key in `hot` texts or more comes once more with a negative id48. A task holds one
+    range of keys at a time.
     """
 
     def narrow(x: np.ndarray, width: int) -> np.ndarray:
@@ -312,7 +321,7 @@ def _shared_keys(texts: DataFrame, ranges: int, hot: int) -> DataFrame:
                 if len(data) >= SPAN:
                     key = np.unique(hash_keys(minimizers(data)[0], ranges))
                     found.append(key)
-                    ids.append(np.full(len(key), h1 & _LOW48, np.uint64))
+                    ids.append(np.full(len(key), h1 & id_mask, np.uint64))
             if not found:
                 continue
             key, owner = np.concatenate(found), np.concatenate(ids)
@@ -352,32 +361,31 @@ def _shared_keys(texts: DataFrame, ranges: int, hot: int) -> DataFrame:
             for at in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + 100_000].astype(np.int64)), pa.array(key[at : at + 100_000].astype(np.int64))], ["id48", "key"])
 
-        keys, owners, sizes = [], [], []
-        for batch in batches:
-            for part, low, who, size in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if part < 0:
+        for group in whole_keys(batches, 0):
+            if group.column(0)[0].as_py() < 0:
+                for low, who in zip(group.column(1).to_pylist(), group.column(2).to_pylist(), strict=True):
                     yield from give(wide(who, 6), np.frombuffer(low, np.uint64))
-                    continue
+                continue
+            keys, owners, sizes = [], [], []
+            for part, low, who, size in zip(*(group.column(k).to_pylist() for k in range(4)), strict=True):
                 keys.append(wide(low, 5) | np.uint64(part << 40))
                 owners.append(wide(who, 6))
                 sizes.append(np.frombuffer(size, "<u2"))
-        if not keys:
-            return
-        key, owner, n = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes).astype(np.int64)
-        order = np.lexsort((owner, key))
-        key, owner, n = key[order], owner[order], n[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(starts[1:], len(key))
-        total = np.add.reduceat(n, starts)
-        shared = (owner[starts] != owner[ends - 1]) | (np.maximum.reduceat(n, starts) > 1)
-        ask = np.repeat(shared, ends - starts) & (n == 1)
-        ask &= np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # a text counts once
-        yield from give(owner[ask], key[ask])
-        many = key[starts[total >= hot]]
-        yield from give(-1 - (many % np.uint64(4096)).astype(np.int64), many)
+            key, owner, n = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes).astype(np.int64)
+            order = np.lexsort((owner, key))
+            key, owner, n = key[order], owner[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            total = np.add.reduceat(n, starts)
+            shared = (owner[starts] != owner[ends - 1]) | (np.maximum.reduceat(n, starts) > 1)
+            ask = np.repeat(shared, ends - starts) & (n == 1)
+            ask &= np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # a text counts once
+            yield from give(owner[ask], key[ask])
+            many = key[starts[total >= hot]]
+            yield from give(-1 - (many % np.uint64(4096)).astype(np.int64), many)
 
     packed = texts.select("h1", "text").mapInArrow(send, "part long, low binary, who binary, size binary")
-    return packed.repartition("part").mapInArrow(meet, "id48 long, key long")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "id48 long, key long")
 
 
 def _marked(shared: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
@@ -392,9 +400,9 @@ def _marked(shared: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
 
 
 def _segments(rows: DataFrame, ranges: int, hot: np.ndarray | None) -> DataFrame:
-    """Segments of texts (h1, h2, first, text, keys) at their shared minimizers.
+    """Segments of texts (h1, h2, first, text, keys, twin) at their shared minimizers.
 
-    key, h1, h2, first, at, segment: what pass 3 sorts, with all places (at) of the segment
+    A twin's id stands for other texts too: it sends all its segments. key, h1, h2, first, at, segment: what pass 3 sorts, with all places (at) of the segment
     in the text; at hot keys each window is a segment under a key of its own. Rows
     without a segment carry, in spans, what was settled within a batch.
     """
@@ -405,7 +413,7 @@ def _segments(rows: DataFrame, ranges: int, hot: np.ndarray | None) -> DataFrame
 
         for batch in batches:
             for piece in slices(batch, 2048):
-                h1, h2, first, texts, keys = (piece.column(k) for k in range(5))
+                h1, h2, first, texts, keys, twins = (piece.column(k) for k in range(6))
                 ids = list(zip(h1.to_pylist(), h2.to_pylist(), first.to_pylist(), strict=True))
                 best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
                 windows: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
@@ -414,8 +422,8 @@ def _segments(rows: DataFrame, ranges: int, hot: np.ndarray | None) -> DataFrame
                     raw = text.as_buffer().to_pybytes()
                     g, lo, hi = minimizers(np.frombuffer(raw, np.uint8))
                     key = hash_keys(g, ranges).view(np.int64)
-                    mine = keys[row].values.to_numpy()
-                    at = np.flatnonzero(np.isin(key, mine & (_MARK - 1)))
+                    mine = keys[row].values.to_numpy() if keys[row].is_valid else np.zeros(0, np.int64)
+                    at = np.arange(len(key)) if twins[row].as_py() else np.flatnonzero(np.isin(key, mine & (_MARK - 1)))
                     is_hot = np.isin(key[at], hot) if hot is not None else np.isin(key[at] | _MARK, mine)
                     for k, x in zip(at.tolist(), is_hot.tolist(), strict=True):
                         into = (-1 - int(key[k])) if x else int(key[k])
@@ -453,7 +461,7 @@ def _segments(rows: DataFrame, ranges: int, hot: np.ndarray | None) -> DataFrame
                     ["key", "h1", "h2", "first", "at", "segment", "spans"],
                 )
 
-    return rows.select("h1", "h2", "first", F.col("text"), "keys").mapInArrow(run, "key long, h1 long, h2 long, first long, at binary, segment binary, spans binary")
+    return rows.select("h1", "h2", "first", "text", "keys", "twin").mapInArrow(run, "key long, h1 long, h2 long, first long, at binary, segment binary, spans binary")
 
 
 def _settle(segments: DataFrame) -> DataFrame:
@@ -462,32 +470,30 @@ def _settle(segments: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        rest = []
-        for batch in batches:
-            open_ = batch.column(5).is_valid()
-            passed = batch.filter(batch.column(5).is_null())
+        for group in whole_keys(batches, 0, AT_ONCE):
+            passed = group.filter(group.column(5).is_null())
             if passed.num_rows:
                 yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), passed.column(6)], ["h1", "h2", "spans"])
-            rest.append(batch.filter(open_))
-        if not sum(x.num_rows for x in rest):
-            return
-        key, h1, h2, first = (np.concatenate([x.column(k).to_numpy() for x in rest]) for k in range(4))
+            rest = group.filter(group.column(5).is_valid())
+            if not rest.num_rows:
+                continue
+            key, h1, h2, first = (rest.column(k).to_numpy() for k in range(4))
 
-        def ragged(k: int) -> Ragged:
-            column = pa.concat_arrays([x.column(k).cast(pa.large_binary()) for x in rest])
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            return Ragged(np.frombuffer(column.buffers()[2], np.uint8), offsets)
+            def ragged(k: int, rest=rest) -> Ragged:
+                column = rest.column(k).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                return Ragged(np.frombuffer(column.buffers()[2], np.uint8), offsets)
 
-        places = ragged(4)
-        row, a, b = flagged(key, first, ragged(5))
-        if len(row):
-            raw, _ = places.places(row)
-            at, n = places.data[raw].view("<i4").astype(np.int64), places.lengths[row] // 4
-            row, a, b = np.repeat(row, n), np.repeat(a, n), np.repeat(b, n)
-            one, two, spans = _merged_by_text(h1[row], h2[row], at + a, at + b + SPAN)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(spans, pa.binary())], ["h1", "h2", "spans"])
+            places = ragged(4)
+            row, a, b = flagged(key, first, ragged(5))
+            if len(row):
+                raw, _ = places.places(row)
+                at, n = places.data[raw].view("<i4").astype(np.int64), places.lengths[row] // 4
+                row, a, b = np.repeat(row, n), np.repeat(a, n), np.repeat(b, n)
+                one, two, spans = _merged_by_text(h1[row], h2[row], at + a, at + b + SPAN)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(spans, pa.binary())], ["h1", "h2", "spans"])
 
-    return segments.repartition("key").mapInArrow(run, "h1 long, h2 long, spans binary")
+    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h1 long, h2 long, spans binary")
 
 
 def _cut_texts(rows: DataFrame) -> DataFrame:
@@ -512,26 +518,30 @@ def _cut_texts(rows: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "text", "lists").mapInArrow(run, "h1 long, h2 long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, digest: bool = False, hot: int = HOT, id_bits: int = ID_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left, for every row of docs.
 
     kept (binary) holds the remaining bytes, or kept_sha256 their digest where digest
-    is set. Null texts are empty; texts shorter than SPAN lose nothing. Null ids come
-    after all others; rows with equal ids don't count against each other.
+    is set. Null texts are empty; texts shorter than SPAN lose nothing. Ids of any
+    orderable type count in their order, null ids after all others; rows with equal ids
+    don't count against each other. Repeated rows come out repeated, an empty table
+    gives no rows, other columns are ignored.
     """
-    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "n_bytes": F.octet_length("text").cast("long"), "place": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    rows = place_of(rows, "doc_id", "place", LAST)
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "n_bytes": F.octet_length("text").cast("long")})
     whole = F.sha2("text", 256) if digest else F.col("text")
     empty = F.lit(hashlib.sha256(b"").hexdigest()) if digest else F.lit(b"")
-    narrow = rows.select("doc_id", "h1", "h2", "n_bytes", "place", *([whole.alias("whole")] if digest else []))
-    if digest:
-        narrow = cut(narrow)
+    narrow = cut(rows.select("doc_id", "h1", "h2", "n_bytes", "place", *([whole.alias("whole")] if digest else [])))
     long = F.col("n_bytes") >= SPAN
+    size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    id_mask = (1 << id_bits) - 1
     firsts = narrow.where(long).groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    shared, hot_keys = _marked(cut(_shared_keys(rows.where(long), ranges, hot).groupBy("id48").agg(F.collect_list("key").alias("keys"))))
-    known = firsts.withColumn("id48", F.col("h1").bitwiseAND(_LOW48)).join(shared, "id48").drop("id48")
+    shared, hot_keys = _marked(cut(_shared_keys(rows.where(long), ranges, hot, id_mask).groupBy("id48").agg(F.collect_list("key").alias("keys"))))
+    known = firsts.withColumn("id48", F.col("h1").bitwiseAND(id_mask)).withColumn("twin", F.count("*").over(Window.partitionBy("id48")) > 1)
+    known = known.join(shared, "id48", "left").where(F.col("twin") | F.col("keys").isNotNull()).drop("id48")
 
     texts = rows.where(long).select("h1", "h2", "text").dropDuplicates(["h1", "h2"])  # one exchange, used twice
     spans = _settle(_segments(texts.join(known, ["h1", "h2"]), ranges, hot_keys))
@@ -541,7 +551,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False, hot: int = HOT, id_col
 
     firsts = firsts.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first").join(left, (F.col("f1") == F.col("l1")) & (F.col("f2") == F.col("l2")), "left").drop("l1", "l2")
     base = narrow if digest else rows.withColumn("whole", F.col("text"))
-    all_ = base.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+    # a table of its own, so that the join of a text with very many copies can be split
+    all_ = base.join(cut(firsts), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
     copy = F.col("place") > F.col("first")
     none = F.lit(0).cast("long")
     return all_.select(
