@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(documents(spark, sf_dir), shards=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The map of a table lies in the shared folder under the hash of the table's path."""
+    path = sharding.map_path(spark, f"documents-{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    placed = sharding.shard_documents(documents(spark, sf_dir), path, shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "map_version")
 
 
 #: Water-filling in closed form: sources by cap over weight, of which a prefix is clamped.
