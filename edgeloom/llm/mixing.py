@@ -9,13 +9,14 @@ and ends inside one of them, so that a source's words meet its target exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, word_count
+from .common import WORD, cut, let, ranked, word_count
 
-#: Leading hex digits of the seeded order that split each source into buckets.
-BUCKET_DIGITS = 2
+#: Rows of the table for each bucket that its sources are split into, by leading hex
+#: digits of the seeded order. The order, and so the result, is the same for any number.
+BUCKET_ROWS = 50_000
 
 
 def fill_levels(sources: DataFrame, epochs: int) -> DataFrame:
@@ -55,7 +56,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
         F.xxhash64(text_col).alias("text_hash"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("place"),
     )
-    rows = cut(rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS)))
+    rows = cut(rows)
+    n, bucket_digits = rows.count(), 2
+    while 16**bucket_digits * BUCKET_ROWS < n:
+        bucket_digits += 1
+    rows = rows.withColumn("bucket", F.substring("place", 1, bucket_digits))
     cells = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size")))
     sources = cut(_number(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights))
     known = fill_levels(sources, epochs)
@@ -80,26 +85,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
 
 
 def _number(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """weight by the source's place in code-point order, null last.
+    """weight by the source's place in code-point order, null last."""
+    turn = F.element_at(F.lit(list(weights)), (F.col("turn") % len(weights) + 1).cast("int"))
+    return ranked(sources, "source", "turn").withColumn("weight", turn.cast("long")).drop("turn")
 
-    Ranges of sources are sorted apart and their sizes added up, so that no task
-    needs all sources.
-    """
-    order = F.col("source").asc_nulls_last()
-    ranged = cut(sources.repartitionByRange(8, order).withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.max("source").alias("top"))  # 8 rows at most
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
-    placed = ranged.withColumn("place", place).join(F.broadcast(sizes.select("range", "before")), "range")
-    turn = F.lit(list(weights))
-    return placed.select("source", "source_size", F.element_at(turn, ((F.col("before") + F.col("place")) % len(weights) + 1).cast("int")).cast("long").alias("weight"))
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it is."""
+    words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    piece = lambda g, w: F.transform(F.slice(F.arrays_zip(g.alias("g"), w.alias("w")), F.lit(1), n), lambda x: F.concat(x["g"], x["w"]))
+    return let(gaps, lambda g: F.array_join(let(words, lambda w: piece(g, w)), ""))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every row as often as mixed says; rows are told apart by id and text.
 
-    A part becomes one more row that holds the document's first `part` words. Rows
-    equal in id and text share their copies: together they come as often as mixed says.
+    A part becomes one more row that holds the document up to the end of its `part`-th
+    word. Rows equal in id and text share their copies: together they come as often as
+    mixed says. Null ids are ordinary rows; null texts have no words and go.
     """
     share = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.sum("copies").alias("copies"), F.sum("part").alias("part"), F.count("*").alias("rows"))
     share = share.where("copies > 0 or part > 0")
@@ -109,6 +112,6 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
         rows = rows.dropDuplicates([id_col, "m_hash"])
     times = F.when(F.col("part") > 0, F.col("copies") + 1).otherwise(F.col("copies")).cast("int")
     rows = rows.withColumn("m_turn", F.explode(F.sequence(F.lit(1), times)))
-    head = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")))
+    head = first_words(F.col(text_col), F.col("part").cast("int"))
     text = F.when(F.col("m_turn") > F.col("copies"), head).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*docs.columns)
