@@ -9,9 +9,11 @@ are carved out as embedded media.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def wav(payload: bytes, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def _riff(b: bytes, at: int) -> tuple[int, str, dict] | None:
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[int, str, dict] | None:
     if at + 12 > len(b):
         return None
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -66,7 +68,7 @@ def _riff(b: bytes, at: int) -> tuple[int, str, dict] | None:
     return size, kind, info
 
 
-def _png(b: bytes, at: int):
+def _png(b: bytes, at: int, marks: Marks):
     place = at + 8
     if b[place + 4 : place + 8] != b"IHDR":
         return None
@@ -81,7 +83,7 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _gif(b: bytes, at: int):
+def _gif(b: bytes, at: int, marks: Marks):
     if at + 13 > len(b):
         return None
     width, height, flags = struct.unpack_from("<HHB", b, at + 6)
@@ -103,9 +105,9 @@ def _gif(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
+def _jpeg(b: bytes, at: int, marks: Marks):
     place = at + 2
-    while place + 4 <= len(b):
+    while place + 4 <= len(b) and at < marks.last_jpeg_end:
         if b[place] != 0xFF:
             return None
         mark = b[place + 1]
@@ -128,7 +130,7 @@ def _jpeg(b: bytes, at: int):
     return None
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(b: bytes, at: int, marks: Marks):
     if at + 30 > len(b):
         return None
     size, reserved, data, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -137,30 +139,70 @@ def _bmp(b: bytes, at: int):
     return size, "image/bmp", {"width": width, "height": height}
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return (end + 5 - at, "application/pdf", {}) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+class Marks:
+    """What validators look for beyond a hit, found once for all hits of a text."""
 
+    def __init__(self, data: bytes):
+        self.data, self.walked = data, set()
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start, comment = struct.unpack_from("<IIH", b, end + 12)
-    if start + size != end - at or end + 22 + comment > len(b):
-        return None
-    return end + 22 + comment - at, "application/zip", {}
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-", self.data)]
+
+    @cached_property
+    def pdf_tails(self) -> list[tuple[int, int, int]]:
+        """(start, end, offset of the cross-reference) of every end of a PDF revision."""
+        return [(m.start(), m.end(), int(m[1])) for m in re.finditer(rb"startxref\s{1,2}([0-9]{1,10})\s{1,2}%%EOF", self.data)]
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Start -> end of every archive, from its end record."""
+        found = {}
+        for m in re.finditer(rb"PK\x05\x06", self.data):
+            if m.start() + 22 <= len(self.data):
+                size, start, comment = struct.unpack_from("<IIH", self.data, m.start() + 12)
+                end = m.start() + 22 + comment
+                if end <= len(self.data):
+                    found[m.start() - size - start] = end
+        return found
+
+    @cached_property
+    def last_jpeg_end(self) -> int:
+        return self.data.rfind(b"\xff\xd9")
 
 
-def _flac(b: bytes, at: int):
-    if at + 42 > len(b) or b[at + 4] & 127 or b[at + 5 : at + 8] != b"\0\0\x22":
+def _pdf(b: bytes, at: int, marks: Marks):
+    """Up to the last revision before the next PDF whose cross-reference lies in the file."""
+    heads, tails = marks.pdf_heads, marks.pdf_tails
+    k = bisect_right(heads, at)
+    stop, end = heads[k] if k < len(heads) else len(b), 0
+    for start, after, offset in tails[bisect_left(tails, (at,)) : bisect_left(tails, (stop,))]:
+        if offset == 0 or at + offset < start and (b.startswith(b"xref", at + offset) or re.match(rb"[0-9]+ [0-9]+ obj", b[at + offset : at + offset + 24])):
+            end = after
+    return (end - at, "application/pdf", {}) if end else None
+
+
+def _zip(b: bytes, at: int, marks: Marks):
+    return (marks.zips[at] - at, "application/zip", {}) if at in marks.zips else None
+
+
+def _flac(b: bytes, at: int, marks: Marks):
+    """The metadata blocks; frames state no length, so what follows stays open."""
+    if b[at + 5 : at + 8] != b"\0\0\x22" or at + 8 > len(b) or b[at + 4] & 127:
         return None
-    return len(b) - at, "audio/flac", {}
+    place, last = at + 4, False
+    while not last:
+        if place + 4 > len(b):
+            return None
+        last, n = b[place] & 128, int.from_bytes(b[place + 1 : place + 4])
+        place += 4 + n
+    return (place - at, "audio/flac", {"open": 1}) if place <= len(b) else None
 
 
-def _ogg(b: bytes, at: int):
+def _ogg(b: bytes, at: int, marks: Marks):
     place = at
-    while b[place : place + 4] == b"OggS" and place + 27 <= len(b) and b[place + 4] == 0:
+    while b[place : place + 4] == b"OggS" and place + 27 <= len(b) and b[place + 4] == 0 and place not in marks.walked:
+        marks.walked.add(place)  # a walk that failed from here fails again
         n = b[place + 26]
         if place + 27 + n > len(b):
             return None
@@ -173,7 +215,7 @@ def _ogg(b: bytes, at: int):
     return None
 
 
-def _mp4(b: bytes, at: int):
+def _mp4(b: bytes, at: int, marks: Marks):
     place, boxes = at, 0
     while place + 8 <= len(b):
         n, name = struct.unpack_from(">I4s", b, place)
@@ -201,14 +243,15 @@ def sniff(data: bytes) -> list[tuple[int, int, str, dict]]:
     """(offset, length, type, details) of every confirmed medium, in order.
 
     Media within a medium that was carved whole are not listed again, except those
-    in its payload when it starts at 0 (a container of other media).
+    in its payload when it starts at 0 (a container of other media). A medium whose end
+    is not confirmed (open) has the length that is.
     """
-    found, end = [], 0
+    found, end, marks = [], 0, Marks(data)
     for last, (back, kind) in _automaton().iter(data.decode("latin-1")):
         at = last - back
         if at < end or at < 0:
             continue
-        hit = _VALIDATE[kind](data, at)
+        hit = _VALIDATE[kind](data, at, marks)
         if hit:
             found.append((at, *hit))
             if at:
