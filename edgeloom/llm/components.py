@@ -2,8 +2,9 @@
 
 Each round replaces edges by edges to the smallest neighbour; the number of rounds
 grows with the logarithm of the longest path. Nothing but two numbers a round
-reaches the driver, and every aggregate is combined before its shuffle, so a hub
-costs one row per task.
+reaches the driver. A node's least neighbour is an aggregate that combines before its
+shuffle and is written as a table of its own, so that Spark can split the join of a hub
+with its neighbours.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame) -> DataFrame:
     """Each u's neighbours v, with m = the least of u and all v."""
-    least = pairs.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+    least = cut(pairs.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
     return pairs.join(least, F.col("u") == F.col("c")).select("u", "v", F.least("m", "u").alias("m"))
 
 

@@ -49,8 +49,10 @@ def fingerprint(hashes: list[int]) -> int:
     """Bit b is 1 if it is set in over half the hashes; 0 for none."""
     if not hashes:
         return 0
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    raw, total = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    for at in range(0, len(raw), CHUNK):
+        total += np.unpackbits(raw[at : at + CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    over = total * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
 
