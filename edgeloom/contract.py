@@ -43,7 +43,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(side("source", "k1"), F.col("s_nationkey") == F.col("k1")).join(side("target", "k2"), F.col("c_nationkey") == F.col("k2"))
     return rows.select(
         "source", "target", F.col("o_orderpriority").alias("label"), F.col("l_orderkey").cast("string").alias("pubmed"),
-        F.concat("l_returnflag", "l_linestatus").alias("experiment_type"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias(E.ORDER),
+        F.concat("l_returnflag", "l_linestatus").alias("experiment_type"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias(E.ORDER),
     )
 
 
@@ -133,7 +133,7 @@ def remove_self_edges(spark, d):
 
 @query(RAW + " SELECT source, target, label, count(*) n FROM (SELECT source, target, CASE WHEN ln % 2 = 0 THEN label END AS label FROM e) WHERE label IS NOT NULL GROUP BY ALL")
 def remove_nulls(spark, d):
-    rows = frame(spark, d).withColumn("label", F.when(F.col("_ord.l_linenumber") % 2 == 0, F.col("label")).otherwise(" None "))
+    rows = frame(spark, d).withColumn("label", F.when(F.col(E.ORDER) % 2 == 0, F.col("label")).otherwise(" None "))
     return E.remove_nulls(rows).groupBy("source", "target", "label").agg(F.count("*").alias("n"))
 
 
@@ -202,15 +202,16 @@ def batch_map(spark, d):
     return mapping.batch_map(wanted, s.select("old", F.col("uniprot_id").alias("new")), s.drop("old"), taxon_id=1).withColumn("new", F.array_join("new", ","))
 
 
-PAIRS = ", a AS (SELECT DISTINCT source, target, label FROM e WHERE experiment_type = 'RF' AND ok % 3 = 0), b AS (SELECT DISTINCT source, target, label FROM e WHERE experiment_type <> 'RF' AND ok % 5 = 0)"
+SPLIT = "WITH e AS (SELECT DISTINCT 'C' || o_custkey source, 'S' || l_suppkey target, replace(upper(o_orderpriority[1:1]) || lower(o_orderpriority[2:]), ' ', '-') AS label, l_returnflag = 'R' returned FROM lineitem JOIN orders ON l_orderkey = o_orderkey), a AS (SELECT source, target, label FROM e WHERE returned), b AS (SELECT source, target, label FROM e WHERE NOT returned)"
 
 
-@query(RAW + PAIRS + " SELECT 'first' AS part, * FROM a ANTI JOIN b USING (source, target) UNION ALL SELECT 'second', * FROM b ANTI JOIN a USING (source, target) UNION ALL SELECT 'common', * FROM a SEMI JOIN b USING (source, target) UNION ALL SELECT 'common', * FROM b SEMI JOIN a USING (source, target)")
+@query(SPLIT + " SELECT 'first' AS part, * FROM a ANTI JOIN b USING (source, target) UNION ALL SELECT 'second', * FROM b ANTI JOIN a USING (source, target) UNION ALL SELECT 'common', * FROM a SEMI JOIN b USING (source, target) UNION ALL SELECT 'common', * FROM b SEMI JOIN a USING (source, target)")
 def split_common(spark, d):
-    e, third = frame(spark, d), F.col("_ord.l_orderkey")
-    a = e.where((F.col("experiment_type") == "RF") & (third % 3 == 0)).select("source", "target", "label").distinct()
-    b = e.where((F.col("experiment_type") != "RF") & (third % 5 == 0)).select("source", "target", "label").distinct()
-    first, second, common = E.remove_common(a, b)
+    """Supplier-customer edges with returned lines against those with others."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = E.edge_frame(rows.select(F.concat(F.lit("S"), "l_suppkey").alias("source"), F.concat(F.lit("C"), "o_custkey").alias("target"), F.col("o_orderpriority").alias("label"), "l_returnflag"), experiment_type="l_returnflag")
+    back = F.col("experiment_type") == "R"
+    first, second, common = E.remove_common(*[rows.where(x).select("source", "target", "label").distinct() for x in (back, ~back)])
     return first.withColumn("part", F.lit("first")).unionByName(second.withColumn("part", F.lit("second"))).unionByName(common.withColumn("part", F.lit("common")))
 
 
@@ -239,14 +240,14 @@ def upsert(spark, d):
 @query(RAW + """, s AS (SELECT DISTINCT source, target, label, ok % 4 k FROM e) SELECT source, target, bool_or(k IN (0, 2)) is_training, bool_or(k IN (1, 2)) is_holdout, bool_or(k = 3) is_interactome,
  array_to_string(list_sort(list_distinct(list(label) FILTER (k <> 3))), ',') AS label FROM s GROUP BY source, target HAVING count(*) FILTER (k <> 3) > 0""")
 def flag_merge(spark, d):
-    e = frame(spark, d).withColumn("k", F.col("_ord.l_orderkey") % 4)
+    e = frame(spark, d).withColumn("k", F.expr("_ord div 8") % 4)
     parts = [e.where(F.col("k") == k).drop("k", E.ORDER) for k in range(4)]
     return store.merge_flags(*parts).where("label is not null").drop("pubmed", "experiment_type")
 
 
 @query(RAW + " SELECT DISTINCT source, target, pubmed, upper(experiment_type) psimi FROM e WHERE source <> target")
 def reference_links(spark, d):
-    return store.reference_links(E.process(frame(spark, d), merge=True))
+    return store.reference_links(E.process(frame(spark, d), allow_duplicates=True))
 
 
 @query(RAW + " SELECT DISTINCT pubmed FROM e WHERE experiment_type = 'RF'")

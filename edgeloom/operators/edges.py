@@ -60,44 +60,75 @@ def remove_rare_labels(df: DataFrame, least: int) -> DataFrame:
     return df.join(counts, F.col("label").eqNullSafe(F.col("l_label")), "left_semi")
 
 
-def _grouped(df: DataFrame, keys: list[Column], carry: str | None = None) -> DataFrame:
-    """One row per keys: sorted labels, and references in first-seen order.
+#: What open rows hold: an edge's ends, its label cell, one publication, one method, and
+#: where they were first seen. References stay apart until an edge table is written.
+OPEN = ["source", "target", "label", "pmid", "psimi"]
 
-    First per reference, then per edge: both aggregates combine before their shuffle.
-    carry: a column whose greatest value is kept.
+
+def _order(df: DataFrame, pos: Column) -> Column:
+    """Where a reference was first seen: the row's order, then the place in its cell.
+
+    Whole-number orders become one number, which aggregates without sorting.
     """
+    if dict(df.dtypes)[ORDER] == "bigint":
+        return F.col(ORDER).cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)") + pos
+    return F.struct(F.col(ORDER).alias("row"), pos.alias("pos"))
+
+
+def _open(df: DataFrame) -> DataFrame:
+    """OPEN and o: one row per edge row, publication and method, equal ones united."""
     rows = df if ORDER in df.columns else df.withColumn(ORDER, F.struct("source", "target", "label", "pubmed", "experiment_type"))
-    names = [f"k{i}" for i in range(len(keys))]
-    kept = [carry] if carry else []
     a, b = canonical(F.col("source"), F.col("target"))
-    rows = rows.withColumns({"source": a, "target": b}).select(
-        *[k.alias(n) for k, n in zip(keys, names, strict=True)], ORDER, *kept, T.label_list(F.col("label")).alias("labels"),
-        F.posexplode_outer(T.references(F.col("pubmed"), F.col("experiment_type"))).alias("pos", "ref"),
-    )
-    each = rows.groupBy(*names, "ref.pmid").agg(
-        F.min(F.struct(ORDER, "pos")).alias("o"),
-        F.min(ORDER).alias("first"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("ref.psimis", F.array().cast("array<string>")))))).alias("psimis"),
-        F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"),
-        *[F.max(c).alias(c) for c in kept],
-    )
+    rows = rows.withColumns({"source": a, "target": b, "label": T.format_labels(F.col("label"))})
+    refs = rows.select("source", "target", "label", ORDER, F.posexplode_outer(T.references(F.col("pubmed"), F.col("experiment_type"))).alias("pos", "ref"))
+    each = refs.select("source", "target", "label", F.col("ref.pmid").alias("pmid"), F.explode_outer("ref.psimis").alias("psimi"), _order(rows, F.coalesce("pos", F.lit(0))).alias("o"))
+    return each.groupBy(*OPEN).agg(F.min("o").alias("o"))
+
+
+def _merge_open(rows: DataFrame) -> DataFrame:
+    """Open rows with one label cell per edge: the union of its labels.
+
+    References follow the cells they came from, in the order these were first seen.
+    """
+    cells = cut(rows.groupBy("source", "target", "label").agg(F.min("o").alias("first")))
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.split_cell(F.col("label"))))))
+    named = cells.groupBy(F.col("source").alias("n_source"), F.col("target").alias("n_target")).agg(T.join_or_null(union).alias("cell"))
+    same = F.col("source").eqNullSafe(F.col("n_source")) & F.col("target").eqNullSafe(F.col("n_target"))
+    place = cells.join(named, same).select(F.col("source").alias("c_source"), F.col("target").alias("c_target"), F.col("label").alias("c_label"), "first", "cell")
+    match = F.col("source").eqNullSafe(F.col("c_source")) & F.col("target").eqNullSafe(F.col("c_target")) & F.col("label").eqNullSafe(F.col("c_label"))
+    moved = rows.join(place, match).select("source", "target", F.col("cell").alias("label"), "pmid", "psimi", F.struct("first", "o").alias("o"))
+    return moved.groupBy(*OPEN).agg(F.min("o").alias("o"))
+
+
+def _dedupe_open(rows: DataFrame) -> DataFrame:
+    """Open rows by single label; if any cell has several, edges are merged again."""
+    rows = cut(rows)  # read more than once, whatever follows
+    if rows.where(F.contains("label", F.lit(","))).isEmpty():
+        return rows
+    apart = rows.withColumn("label", F.explode_outer(F.split("label", ",")))
+    return cut(_merge_open(cut(apart.groupBy(*OPEN).agg(F.min("o").alias("o")))))
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """An edge table of open rows: one row per label cell, references in first-seen order."""
+    each = rows.groupBy("source", "target", "label", "pmid").agg(F.min("o").alias("o"), F.array_sort(F.collect_set("psimi")).alias("psimis"))
     ref = F.struct("o", "pmid", F.coalesce(T.join_or_null(F.col("psimis"), "|"), F.lit("None")).alias("group"))
-    edges = each.groupBy(*names).agg(
-        F.min("first").alias(ORDER),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
-        F.array_sort(F.collect_list(F.when(F.col("pmid").isNotNull(), ref))).alias("refs"),
-        *[F.max(c).alias(c) for c in kept],
-    )
+    edges = each.groupBy("source", "target", "label").agg(F.min("o").alias(ORDER), F.array_sort(F.collect_list(F.when(F.col("pmid").isNotNull(), ref))).alias("refs"))
     return edges.select(
-        F.col("k0").alias("source"), F.col("k1").alias("target"), T.join_or_null(F.col("labels")).alias("label"),
+        "source", "target", "label",
         T.join_or_null(F.transform("refs", lambda r: r["pmid"])).alias("pubmed"),
-        T.join_or_null(F.transform("refs", lambda r: r["group"])).alias("experiment_type"), ORDER, *kept,
+        T.join_or_null(F.transform("refs", lambda r: r["group"])).alias("experiment_type"), ORDER,
     )
 
 
 def merge_labels(df: DataFrame) -> DataFrame:
     """One row per edge: the union of its labels and of its references."""
-    return _grouped(df, [F.col("source"), F.col("target")])
+    rows = cut(_open(df.withColumn("label", F.lit(None).cast("string"))))
+    labels = df.select(*[c.alias(n) for c, n in zip(canonical(F.col("source"), F.col("target")), ("l_source", "l_target"), strict=True)], F.explode_outer(T.label_list(F.col("label"))).alias("l"))
+    named = labels.groupBy("l_source", "l_target").agg(T.join_or_null(F.array_sort(F.collect_set("l"))).alias("cell"))
+    out = _close(rows)
+    match = F.col("source").eqNullSafe(F.col("l_source")) & F.col("target").eqNullSafe(F.col("l_target"))
+    return out.join(named, match).select("source", "target", F.col("cell").alias("label"), "pubmed", "experiment_type", ORDER)
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -106,13 +137,7 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     If any row has several labels, labels are taken apart, deduplicated and merged
     again, so that edges come out once.
     """
-    own = T.label_list(F.col("label"))
-    apart = df.withColumn("_several", F.size(own)).withColumn("label", F.explode_outer(own))
-    # written once: whether any row has several labels is known only after a full pass
-    single = cut(_grouped(apart, [F.col("source"), F.col("target"), F.col("label")], "_several"))
-    several = (single.agg(F.max("_several")).first()[0] or 0) > 1
-    single = single.drop("_several")
-    return merge_labels(single) if several else single
+    return _close(_dedupe_open(_open(df)))
 
 
 def process(df: DataFrame, drop_nulls="default", allow_self_edges: bool = False, allow_duplicates: bool = False, exclude_labels: list[str] | None = None, min_counts: int | None = None, merge: bool = False) -> DataFrame:
@@ -132,14 +157,20 @@ def process(df: DataFrame, drop_nulls="default", allow_self_edges: bool = False,
         out = remove_nulls(out, list(drop_nulls))
     if not allow_self_edges:
         out = remove_self_edges(out)
-    if not allow_duplicates:
-        out = remove_duplicates(out)
+    if allow_duplicates:
+        if exclude_labels:
+            out = remove_labels(out, exclude_labels)
+        if min_counts:
+            out = remove_rare_labels(cut(out), min_counts)  # read twice
+        return merge_labels(out) if merge else out
+    rows = _dedupe_open(_open(out))
     if exclude_labels:
-        out = remove_labels(out, exclude_labels)
+        rows = remove_labels(rows, exclude_labels)
     if min_counts:
-        out = cut(out) if allow_duplicates else out  # read twice below
-        out = remove_rare_labels(out, min_counts)
-    return merge_labels(out) if merge else out
+        cells = rows.select("source", "target", "label").distinct()
+        known = cells.groupBy("label").count().where(F.col("count") >= min_counts).select(F.col("label").alias("l_label"))
+        rows = rows.join(known, F.col("label").eqNullSafe(F.col("l_label")), "left_semi")
+    return _close(_merge_open(rows) if merge else rows)
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:

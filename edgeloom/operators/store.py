@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -120,16 +120,19 @@ def merge_flags(training: DataFrame, holdout: DataFrame, common: DataFrame, inte
 
 
 def reference_links(edges: DataFrame, pubmed: DataFrame | None = None, psimi: DataFrame | None = None) -> DataFrame:
-    """source, target, pubmed, psimi: one row per edge, publication and method; a
-    publication without a method has psimi null. Known accessions only, where tables are given."""
+    """source, target, pubmed, psimi: one row per edge, publication and method; a publication
+    for which no row of the edge names a method has psimi null. Edges may occur in several
+    rows. Known accessions only, where tables are given."""
     refs = edges.select("source", "target", F.explode(T.references(F.col("pubmed"), F.col("experiment_type"))).alias("r"))
-    rows = refs.select("source", "target", F.col("r.pmid").alias("pubmed"), F.explode_outer("r.psimis").alias("psimi")).distinct()
+    rows = refs.select("source", "target", F.col("r.pmid").alias("pubmed"), F.explode_outer("r.psimis").alias("psimi"))
     if pubmed is not None:
         rows = rows.join(pubmed.select(F.col("accession").alias("pubmed")), "pubmed", "left_semi")
     if psimi is not None:
         known = psimi.select(F.col("accession").alias("m_acc")).distinct()
-        rows = rows.join(known, F.col("psimi") == F.col("m_acc"), "left").withColumn("psimi", F.col("m_acc")).drop("m_acc").distinct()
-    return rows.select("source", "target", "pubmed", "psimi")
+        rows = rows.join(known, F.col("psimi") == F.col("m_acc"), "left").withColumn("psimi", F.col("m_acc")).drop("m_acc")
+    # null is the least, so the greatest says whether there is any method
+    most = rows.groupBy("source", "target", "pubmed", "psimi").agg(F.lit(1).alias("one")).withColumn("best", F.max("psimi").over(Window.partitionBy("source", "target", "pubmed")))
+    return most.where("psimi is not null or best is null").select("source", "target", "pubmed", "psimi")
 
 
 def linked(links: DataFrame, given: DataFrame, have: list[str], want: list[str]) -> DataFrame:
