@@ -316,7 +316,7 @@ def feature_usability(spark, d):
 
 
 @query("""WITH t AS (SELECT DISTINCT p_brand AS label, unnest(string_split(lower(p_name), ' ')) w FROM part), s AS (SELECT label, count(*) n FROM t GROUP BY label),
- b AS (SELECT x.label label_a, y.label label_b, count(*) c FROM t x JOIN t y ON x.w = y.w GROUP BY ALL) SELECT label_a, label_b, round(c / (p.n + q.n - c), 6) jaccard, round(2 * c / (p.n + q.n), 6) dice FROM b JOIN s p ON label_a = p.label JOIN s q ON label_b = q.label""")
+ b AS (SELECT x.label label_a, y.label label_b, count(*) c FROM t x JOIN t y ON x.w = y.w GROUP BY ALL) SELECT p.label label_a, q.label label_b, round(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0)), 6) jaccard, round(2 * coalesce(c, 0) / (p.n + q.n), 6) dice FROM s p CROSS JOIN s q LEFT JOIN b ON b.label_a = p.label AND b.label_b = q.label""")
 def jaccard_dice(spark, d):
     rows = table(spark, d, "part").select("p_brand", F.explode(words(F.col("p_name"))).alias("w"))
     sets = reports.label_features(rows, "p_brand", "w")

@@ -59,15 +59,18 @@ def label_features(df: DataFrame, label: str, term: str) -> DataFrame:
 
 
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """label_a, label_b, jaccard, dice of the term sets of each pair of labels that share a term.
+    """label_a, label_b, jaccard, dice of the term sets of every pair of labels.
 
-    Pairs without a common term have similarity 0 and are left out, so the work
-    follows the matches.
+    Term sets meet by their terms; pairs without a common term have similarity 0. Labels
+    are a small vocabulary, so b's fit the driver.
     """
     na = a.groupBy("label").agg(F.count("*").alias("size_a")).withColumnRenamed("label", "label_a")
-    nb = b.groupBy("label").agg(F.count("*").alias("size_b")).withColumnRenamed("label", "label_b")
+    sizes = sorted((r[0], r[1]) for r in b.groupBy("label").count().collect())
     both = a.withColumnRenamed("label", "label_a").join(b.withColumnRenamed("label", "label_b"), "term").groupBy("label_a", "label_b").agg(F.count("*").alias("common"))
-    out = both.join(na, "label_a").join(nb, "label_b")
+    both = both.select(F.col("label_a").alias("c_a"), F.col("label_b").alias("c_b"), F.col("common").alias("c_n"))
+    cells = F.array(*[F.struct(F.lit(x).alias("label_b"), F.lit(n).alias("size_b")) for x, n in sizes]).cast("array<struct<label_b:string,size_b:bigint>>")
+    every = na.select("label_a", "size_a", F.inline(cells)).join(both, (F.col("label_a") == F.col("c_a")) & (F.col("label_b") == F.col("c_b")), "left")
+    out = every.withColumn("common", F.coalesce("c_n", F.lit(0)))
     union = F.col("size_a") + F.col("size_b") - F.col("common")
     return out.select("label_a", "label_b", (F.col("common") / union).alias("jaccard"), (2 * F.col("common") / (F.col("size_a") + F.col("size_b"))).alias("dice"))
 

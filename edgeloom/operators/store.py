@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Tables and columns of the store.
 SCHEMAS = {
     "protein": "uniprot_id string, taxon_id int, gene_id string, go_mf string, go_cc string, go_bp string, interpro string, pfam string, keywords string, function string, reviewed boolean, last_update timestamp, last_release int",
     "interaction": "source string, target string, taxon_id int, is_training boolean, is_holdout boolean, is_interactome boolean, label string, keywords string, go_mf string, go_cc string, go_bp string, ulca_go_mf string, ulca_go_cc string, ulca_go_bp string, interpro string, pfam string",

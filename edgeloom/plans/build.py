@@ -24,18 +24,18 @@ def split_networks(pathways: DataFrame, modifications: DataFrame, interactomes:
     """training, testing, common, full and interactome networks, each processed and merged.
 
     Modification edges with a test label are test candidates; edges that are also
-    training edges form the common network.
+    training edges form the common network. Self edges (homodimers) stay.
     """
     candidates = modifications.where(F.col("label").isin(*TEST_LABELS))
     rest = modifications.where(~F.coalesce(F.col("label").isin(*TEST_LABELS), F.lit(False)))
     training, testing, common = E.remove_common(E.concat([pathways, rest]), candidates)
-    merge = lambda df, k=min_counts: E.process(df, min_counts=k, merge=True)
+    merge = lambda df, k=min_counts: E.process(df, allow_self_edges=True, min_counts=k, merge=True)
     return {
         "training": merge(training),
         "testing": merge(testing),
         "common": merge(common, None),
         "full": merge(E.concat([training, testing, common])),
-        "interactome": E.process(E.concat(interactomes), drop_nulls=["source", "target"], merge=True),
+        "interactome": E.process(E.concat(interactomes), drop_nulls=["source", "target"], allow_self_edges=True, merge=True),
     }
 
 

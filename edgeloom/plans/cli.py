@@ -50,8 +50,8 @@ def main(argv: list[str] | None = None) -> None:
         terms, edges, alt = ontologies.read_gene_ontology(spark, at("gene_ontology"))
         methods, _ = ontologies.read_vocabulary(spark, at("methods"))
         pathways = edgelists.load_network(spark, f"{args.data}/networks/pathways.tsv")
-        mods = curated.modification_network(curated.read_modifications(spark, at("modifications")), curated.read_xrefs(spark, at("xrefs")), people)
-        nets = [edgelists.read_network(spark, at(n), r) for n, r in (("bioplex", "bioplex"), ("pina_sif", "sif"), ("pina_mitab", "pina_mitab"), ("innate_curated", "innate_mitab"), ("innate_imported", "innate_mitab"))]
+        mods = curated.modification_network(curated.read_modifications(spark, at("modifications")), curated.read_xrefs(spark, at("xrefs")), people, allow_self_edges=True)
+        nets = [edgelists.read_network(spark, at(n), r, allow_self_edges=True) for n, r in (("bioplex", "bioplex"), ("pina_sif", "sif"), ("pina_mitab", "pina_mitab"), ("innate_curated", "innate_mitab"), ("innate_imported", "innate_mitab"))]
         s = build.fill(spark, args.store, people, methods, build.split_networks(pathways, mods, nets), terms, edges, alt)
         build.train_default(s, args.model or f"{args.store}/model")
     elif args.command == "predict":

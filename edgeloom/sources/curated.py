@@ -10,6 +10,7 @@ from ..operators.edges import ORDER, concat, edge_frame, process
 from ..operators.mapping import map_edges, null_unless_reviewed, preferred
 from .edgelists import read_cells
 
+#: The fields of the two file formats, in order.
 PTM_FIELDS = ["substrate_hprd_id", "substrate_gene_symbol", "substrate_isoform_id", "substrate_refseq_id", "site", "residue", "enzyme_name", "enzyme_hprd_id", "modification_type", "experiment_type", "reference_id"]
 XREF_FIELDS = ["hprd_id", "gene_symbol", "nucleotide_accession", "protein_accession", "entrezgene_id", "omim_id", "swissprot_id", "main_name"]
 #: Relations and entries of a pathway that make edges, and labels left out.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,18 @@ from ..operators.edges import ORDER, edge_frame, process
 
 
 def read_cells(spark: SparkSession, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
-    """Cells as strings c0, c1, ... with ORDER, the place in the input; gzip is read as is."""
+    """Cells as strings c0, c1, ... with ORDER, the place in the input; gzip is read as is.
+
+    Several files follow each other by path: Spark packs their splits in another order.
+    """
     df = spark.read.csv(path, sep=sep, header=header, quote="", enforceSchema=False, inferSchema=False)
     df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-    return df.withColumn(ORDER, F.monotonically_increasing_id())
+    files = sorted(df.inputFiles())
+    if len(files) < 2:
+        return df.withColumn(ORDER, F.monotonically_increasing_id())
+    files = [re.sub("^file:/+", "file:/", f) for f in files]
+    place = F.array_position(F.lit(files), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")).cast("long")
+    return df.withColumn(ORDER, F.array(place, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
 def _plain(df: DataFrame, source: str, target: str) -> DataFrame:

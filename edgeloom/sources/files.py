@@ -48,7 +48,9 @@ def read_saved_map(spark: SparkSession, path: str) -> DataFrame:
 def write_arff(df: DataFrame, path: str, labels: list[str], features: list[str], vocabulary: list[str], name: str = "interactions", unlabelled: bool = False, compression: str | None = None) -> None:
     """Label attributes first, then one count attribute per vocabulary term.
 
-    The header is one row sorted before the data; labels of unlabelled rows are `?`.
+    The header is the first part file and the data follow in as many as they have
+    partitions; read in the order of their names they are one ARFF file. Labels of
+    unlabelled rows are `?`.
     """
     head = [f"@RELATION '{name}: -C {len(labels)}'", ""]
     head += [f"@ATTRIBUTE {x} {{0,1}}" for x in labels] + [f"@ATTRIBUTE {x} NUMERIC" for x in vocabulary] + ["", "@DATA"]
@@ -56,10 +58,14 @@ def write_arff(df: DataFrame, path: str, labels: list[str], features: list[str],
     found = F.regexp_extract_all(text, F.lit(r"\b\w\w+\b"), F.lit(0))
     own = T.split_cell(F.col("label"))
     flags = [F.lit("?") if unlabelled else F.array_contains(own, x).cast("int").cast("string") for x in labels]
-    counts = F.transform(F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"), lambda v: F.size(F.filter(found, lambda x: x == v)).cast("string"))
-    body = df.select(F.lit(1).alias("part"), F.concat_ws(",", *flags, F.array_join(counts, ",")).alias("value"))
-    top = df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("\n".join(head)).alias("value"))
-    writer = top.unionByName(body).repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite")
+    every = F.lit(vocabulary) if vocabulary else F.array().cast("array<string>")
+    # each distinct token is counted once; a term takes its count from there
+    times = F.transform(F.array_distinct(found), lambda w: F.struct(w.alias("w"), F.size(F.filter(found, lambda x: x == w)).cast("string").alias("n")))
+    rows = df.select(*[x.alias(f"flag{k}") for k, x in enumerate(flags)], F.map_from_entries(times).alias("times"))
+    counts = F.transform(every, lambda v: F.coalesce(F.try_element_at("times", v), F.lit("0")))
+    body = rows.select(F.concat_ws(",", *[f"flag{k}" for k in range(len(flags))], F.array_join(counts, ",")).alias("value"))
+    top = df.sparkSession.range(0, 1, 1, 1).select(F.lit("\n".join(head)).alias("value"))
+    writer = top.unionByName(body).write.mode("overwrite")
     (writer.option("compression", compression) if compression else writer).text(path)
 
 

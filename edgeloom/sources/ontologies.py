@@ -1,4 +1,8 @@
-"""OBO 1.2 files as tables: one text record per stanza, parsed with array functions."""
+"""OBO 1.2 files as tables: one text record per stanza, parsed with array functions.
+
+An ontology is a few ten megabytes, so a file is read whole and cut at empty lines,
+whichever line ends it has.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,8 @@ from ..functions import text as T
 
 
 def _stanzas(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("lineSep", "\n\n").text(path)
-    return df.select(F.split(T.strip(F.regexp_replace("value", "\r", "")), "\n").alias("lines"))
+    df = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[ \t]*\n\s*")).alias("value"))
+    return df.select(F.split(T.strip(F.col("value")), "\n").alias("lines"))
 
 
 def _values(tag: str) -> Column:

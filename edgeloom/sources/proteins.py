@@ -30,7 +30,8 @@ def _go(letter: str) -> Column:
 def read_proteins(spark: SparkSession, path: str, taxon_id: int | None = None) -> DataFrame:
     """uniprot_id, taxon_id, gene_id, GO terms by aspect, interpro, pfam, keywords, function,
     reviewed, last_update, last_release, entry_name, synonyms of every entry."""
-    df = spark.read.option("lineSep", "\n//\n").text(path).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines")).where(F.exists("lines", lambda x: x.startswith("ID   ")))
+    df = spark.read.option("lineSep", "\n//").text(path)  # ends an entry whichever line ends follow
+    df = df.select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines")).where(F.exists("lines", lambda x: x.startswith("ID   ")))
     head = F.get(_lines("ID"), 0)
     accessions = F.filter(F.transform(F.split(F.array_join(_lines("AC"), " "), ";"), T.strip), lambda x: x != "")
     gene = F.split_part(F.element_at(F.split(F.split_part(F.get(_lines("GN"), 0), F.lit(";"), F.lit(1)), "="), -1), F.lit(" "), F.lit(1))

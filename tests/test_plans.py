@@ -73,3 +73,10 @@ def test_validation(world):
 def test_command_line_needs_one_choice():
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["induce", "--predictions", "x"])
+
+
+def test_self_edges_stay(spark):
+    frame = lambda rows: spark.createDataFrame([(a, b, lab, str(k), "MI:1", k) for k, (a, b, lab) in enumerate(rows)], FRAME)
+    nets = build.split_networks(frame([("A", "A", "Activation"), ("A", "B", "Activation"), ("C", "C", "Activation")]), frame([("D", "D", "Phosphorylation"), ("C", "C", "Phosphorylation")]), [frame([("E", "E", None)])], min_counts=1)
+    own = {k: sorted(r.source for r in v.where("source = target").collect()) for k, v in nets.items()}
+    assert own == {"training": ["A"], "testing": ["D"], "common": ["C"], "full": ["A", "C", "D"], "interactome": ["E"]}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.operators import features, ontology, store
@@ -183,3 +184,22 @@ def test_label_lookup(spark):
     assert store.by_label(df, "phosphorylation").count() == 1
     assert store.by_label(df, "phosphorylation", substring=True).count() == 2
     assert store.by_pair(df, "B", "A").count() == 1 and store.by_protein(df, "A").count() == 2
+
+
+def test_line_ends_and_cycles(spark, tmp_path):
+    path = write(tmp_path, "crlf.obo", "")
+    (tmp_path / "crlf.obo").write_bytes(OBO.replace("\n", "\r\n").encode())
+    terms, edges, alt = ontologies.read_gene_ontology(spark, path)
+    assert terms.count() == 4 and edges.count() == 3 and alt.count() == 1
+    (tmp_path / "crlf.dat").write_bytes(DAT.replace("\n", "\r\n").encode())
+    assert {r.uniprot_id for r in proteins.read_proteins(spark, str(tmp_path / "crlf.dat")).collect()} == {"P00001", "P00002"}
+    ring = spark.createDataFrame([("a", "b", "is_a"), ("b", "c", "is_a"), ("c", "a", "is_a"), ("x", "a", "is_a")], "child string, parent string, rel string")
+    with pytest.raises(ValueError, match="cycle"):
+        ontology.closure(ring)
+
+
+def test_order_of_several_files(spark, tmp_path):
+    for k, size in enumerate((3, 400, 20)):
+        write(tmp_path, f"part{k}.tsv", "source\ttarget\n" + "".join(f"f{k}r{n:03d}\tx\n" for n in range(size)))
+    rows = [r[0] for r in edgelists.edge_list(spark, f"{tmp_path}/part*.tsv").orderBy("_ord").select("source").collect()]
+    assert rows == [f"F{k}R{n:03d}" for k, size in enumerate((3, 400, 20)) for n in range(size)]
