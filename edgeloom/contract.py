@@ -137,9 +137,19 @@ def remove_nulls(spark, d):
     return E.remove_nulls(rows).groupBy("source", "target", "label").agg(F.count("*").alias("n"))
 
 
-@query(RAW + " SELECT label, count(*) n FROM e WHERE label NOT IN ('5-low', '4-not-specified') GROUP BY label")
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN array_to_string(list_sort(['Aa', upper(p_type[1:1]) || replace(lower(p_type[2:]), ' ', '-')]), ',') ELSE 'Aa' END AS label, count(*) n FROM part WHERE p_size % 2 = 0 GROUP BY ALL")
 def exclude_labels(spark, d):
-    return E.remove_labels(frame(spark, d), ["5-low", "4-not-specified", None]).groupBy("label").agg(F.count("*").alias("n"))
+    """A whole cell is compared: cells that hold an excluded label among others stay."""
+    cell = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("aa,"), "p_type")).when(F.col("p_size") % 3 > 0, "aa")
+    rows = E.edge_frame(table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_name").alias("target"), cell.alias("label")))
+    return E.remove_labels(rows, ["Aa", None]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand END a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_name END b FROM part), c AS (SELECT least(coalesce(a, 'None'), coalesce(b, 'None')) lo, greatest(coalesce(a, 'None'), coalesce(b, 'None')) hi FROM p) SELECT nullif(lo, 'None') source, nullif(hi, 'None') target, count(*) n FROM c GROUP BY ALL")
+def canonical_missing_ends(spark, d):
+    p = table(spark, d, "part").select(F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise(" - ").alias("source"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).alias("target"))
+    ends = E.edge_frame(p.withColumn("source", T.null_of(F.col("source"))), label=None)
+    return ends.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
 @query(RAW + ", c AS (SELECT source, count(*) n FROM e GROUP BY source) SELECT source AS label, n FROM c WHERE n >= (SELECT avg(n) FROM c)")
@@ -237,12 +247,15 @@ def upsert(spark, d):
     return store.upsert(old, new, "accession")
 
 
-@query(RAW + """, s AS (SELECT DISTINCT source, target, label, ok % 4 k FROM e) SELECT source, target, bool_or(k IN (0, 2)) is_training, bool_or(k IN (1, 2)) is_holdout, bool_or(k = 3) is_interactome,
- array_to_string(list_sort(list_distinct(list(label) FILTER (k <> 3))), ',') AS label FROM s GROUP BY source, target HAVING count(*) FILTER (k <> 3) > 0""")
+@query(RAW + """, s AS (SELECT DISTINCT source, target, label, ok % 4 k FROM e), r AS (SELECT DISTINCT source, target, ok % 4 k, pubmed, experiment_type g FROM e),
+ p AS (SELECT source, target, string_agg(pubmed, ',' ORDER BY k, pubmed, g) pubmed, string_agg(g, ',' ORDER BY k, pubmed, g) experiment_type FROM r GROUP BY source, target)
+ SELECT s.source, s.target, bool_or(k IN (0, 2)) is_training, bool_or(k IN (1, 2)) is_holdout, bool_or(k = 3) is_interactome,
+ array_to_string(list_sort(list_distinct(list(label) FILTER (k <> 3))), ',') AS label, any_value(p.pubmed) pubmed, any_value(p.experiment_type) experiment_type
+ FROM s JOIN p ON s.source = p.source AND s.target = p.target GROUP BY s.source, s.target HAVING count(*) FILTER (k <> 3) > 0""")
 def flag_merge(spark, d):
     e = frame(spark, d).withColumn("k", F.expr("_ord div 8") % 4)
     parts = [e.where(F.col("k") == k).drop("k", E.ORDER) for k in range(4)]
-    return store.merge_flags(*parts).where("label is not null").drop("pubmed", "experiment_type")
+    return store.merge_flags(*parts).where("label is not null")
 
 
 @query(RAW + " SELECT DISTINCT source, target, pubmed, upper(experiment_type) psimi FROM e WHERE source <> target")
@@ -496,8 +509,8 @@ def classifier_chain(spark, d):
 
 @query()
 def grid_search(spark, d):
-    rows = folds.single_label_folds(vectors(spark, d).withColumn("label", F.col("y_quality").cast("double")), "label", "doc_id", 2)
-    best, score = models.random_search(rows, "MultinomialNB", folds=2, n_iter=3, seed=1)
+    rows = folds.single_label_folds(vectors(spark, d).withColumn("label", F.col("y_quality").cast("double")), "label", "doc_id", 3)
+    best, score = models.random_search(rows, "MultinomialNB", folds=3, n_iter=30, seed=1)
     return spark.createDataFrame([(str(best), float(score))], "params string, score double")
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from edgeloom import contract
+from edgeloom import contract, contract_io  # noqa: F401  contract_io registers its queries
 
 DIR = "/root/testdata/sf0.001"
 
