@@ -90,10 +90,16 @@ def interactome_set(s: store.Store, selection: list[str] = SELECTION) -> DataFra
     return learning_table(store.interactome(s.read("interaction")), [], selection)
 
 
-def train_default(s: store.Store, path: str, selection: list[str] = SELECTION) -> models.Classifier:
-    """Fit the published ensemble on the labelled network and save it."""
+def train_default(s: store.Store, path: str, selection: list[str] = SELECTION, n_iter: int = 60, splits: int = 3, seed: int = 42) -> models.Classifier:
+    """Search the published ensemble's parameters on the labelled network, fit and save it.
+
+    n_iter 0 fits default parameters.
+    """
     rows, labels = training_set(s, selection)
-    fitted = models.train(rows, labels, selection)
+    if n_iter:
+        fitted, _ = models.searched(rows.withColumn("edge", F.concat_ws("|", "source", "target")), labels, selection, n_iter=n_iter, splits=splits, seed=seed)
+    else:
+        fitted = models.train(rows, labels, selection)
     fitted.save(path)
     return fitted
 

@@ -26,6 +26,9 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--model")
         if name == "predict":
             s.add_argument("--input", required=True, help="edge list")
+            s.add_argument("--map", help="saved map from old to current accessions")
+        if name in ("build", "validate"):
+            s.add_argument("--search", type=int, default=60 if name == "build" else 30, help="draws of each label's parameter search")
         if name == "validate":
             s.add_argument("--iterations", type=int, default=3)
             s.add_argument("--splits", type=int, default=5)
@@ -53,19 +56,18 @@ def main(argv: list[str] | None = None) -> None:
         mods = curated.modification_network(curated.read_modifications(spark, at("modifications")), curated.read_xrefs(spark, at("xrefs")), people, allow_self_edges=True)
         nets = [edgelists.read_network(spark, at(n), r, allow_self_edges=True) for n, r in (("bioplex", "bioplex"), ("pina_sif", "sif"), ("pina_mitab", "pina_mitab"), ("innate_curated", "innate_mitab"), ("innate_imported", "innate_mitab"))]
         s = build.fill(spark, args.store, people, methods, build.split_networks(pathways, mods, nets), terms, edges, alt)
-        build.train_default(s, args.model or f"{args.store}/model")
+        build.train_default(s, args.model or f"{args.store}/model", n_iter=args.search)
     elif args.command == "predict":
         s = store.Store(spark, args.store)
         fitted = models.load(spark, args.model or f"{args.store}/model")
-        found, invalid = predict.classify(edgelists.edge_list(spark, args.input), s, fitted, ontologies.read_gene_ontology(spark, at("gene_ontology")))
-        predict.write_reports(found, invalid, store.labelled_network(s.read("interaction")), fitted.selection, vars(args), args.output)
+        names = files.read_saved_map(spark, args.map) if args.map else None
+        found, invalid, changed, _ = predict.classify(edgelists.edge_list(spark, args.input), s, fitted, ontologies.read_gene_ontology(spark, at("gene_ontology")), names=names)
+        predict.write_reports(found, invalid, store.labelled_network(s.read("interaction")), fitted.selection, vars(args), args.output, changed)
     elif args.command == "validate":
         train, held, labels = build.validation_sets(store.Store(spark, args.store))
-        binary, multi = validate.summary(validate.bootstraps(train, labels, n_iter=args.iterations, n_splits=args.splits))
-        files.write_report(binary, f"{args.output}/binary_stats.csv", "csv")
-        files.write_report(multi, f"{args.output}/multilabel_stats.csv", "csv")
-        for name, df in validate.similarities(train, held, labels).items():
-            files.write_report(df, f"{args.output}/similarity_{name}.csv", "csv")
+        chosen: list = []
+        scores = validate.bootstraps(train, labels, n_iter=args.iterations, n_splits=args.splits, search=args.search, holdout=held, chosen=chosen)
+        validate.write_reports(train, held, labels, scores, chosen, args.output)
     else:
         rows = spark.read.csv(args.predictions, sep="\t", header=True, inferSchema=True)
         kept = network.by_label(rows, args.label, args.threshold) if args.label else network.by_pathway(rows, args.pathway.split(","), args.threshold, args.genes)

@@ -50,7 +50,7 @@ def test_relevance_and_saving(spark, learning, tmp_path):
     assert again.agg(F.sum("`a-pr`")).first()[0] == pytest.approx(out.agg(F.sum("`a-pr`")).first()[0])
 
 
-def test_chains_neighbours_and_search(spark, learning):
+def test_chains_neighbours_and_search(spark, learning, tmp_path):
     from pyspark.ml import Pipeline
 
     rows = Pipeline(stages=models.vectorizer("text")).fit(learning).transform(learning)
@@ -58,6 +58,11 @@ def test_chains_neighbours_and_search(spark, learning):
     assert chains.predict(rows).where("p_a = y_a").count() == 80
     near = models.Neighbours(3).fit(rows.withColumn("label", F.col("y_a")))
     assert models.positive(near.transform(rows), "p").where("(p >= 0.5) = (y_a = 1)").count() == 80
+    near.save(str(tmp_path / "near"))
+    again = models.NeighboursModel.load(str(tmp_path / "near"))
+    assert again.k == 3 and models.positive(again.transform(rows), "p").where("(p >= 0.5) = (y_a = 1)").count() == 80
+    found, picks = models.searched(learning.withColumn("labels", F.array_compact(F.array(F.when(F.col("y_a") == 1, "a"), F.when(F.col("y_b") == 1, "b")))), ["a"], [], id_col="id", algorithms={"a": "KNeighborsClassifier"}, n_iter=1, splits=2)
+    assert picks[0][1] == 1.0 and found.predict_proba(learning).where("(y_a = 1) = (`a-pr` >= 0.5)").count() == 80
     search = folds.single_label_folds(rows.withColumn("label", F.col("y_a").cast("double")), "label", "id", 2)
     assert models.random_search(search, "BernoulliNB", folds=2, n_iter=2)[1] == 1.0
     with pytest.raises(ValueError):

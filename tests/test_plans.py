@@ -45,11 +45,15 @@ def test_train_classify_and_report(spark, world, tmp_path):
     models.train(rows, labels, build.SELECTION, make).save(f"{path}/model")
     fitted = models.load(spark, f"{path}/model")
     asked = spark.createDataFrame([*pairs[:3], *pairs[-3:], ("P00", "M1"), ("P00", None)], "source string, target string")
-    found, invalid = predict.classify(asked, s, fitted, tables)
+    names = spark.createDataFrame([("OLD", pairs[0][0])], "old string, new string")
+    renamed = asked.withColumn("source", F.when((F.col("source") == pairs[0][0]) & (F.col("target") == pairs[0][1]), "OLD").otherwise(F.col("source")))
+    found, invalid, changed, order = predict.classify(renamed, s, fitted, tables, names=names)
+    assert [tuple(r) for r in changed.collect()] == [("OLD", pairs[0][0])] and order == labels
     got = {(r.source, r.target): r for r in found.collect()}
     assert len(got) == 6 and invalid.count() == 2
     assert got["P09", "P11"]["Activation-pr"] > got["P10", "P11"]["Activation-pr"]
-    predict.write_reports(found, invalid, store.labelled_network(s.read("interaction")), fitted.selection, {"a": 1}, str(tmp_path))
+    predict.write_reports(found, invalid, store.labelled_network(s.read("interaction")), fitted.selection, {"a": 1}, str(tmp_path), changed)
+    assert spark.read.json(f"{tmp_path}/accession_map.json").first().new == [pairs[0][0]]
     assert spark.read.csv(f"{tmp_path}/predictions.tsv", sep="\t", header=True).count() == 6
     table = predict.prediction_table(found, s.read("protein"))
     assert {"protein_a", "gene_a", "gene_b"} <= set(table.columns)
@@ -70,6 +74,22 @@ def test_validation(world):
     assert parts["train"].where("label_a = label_b").agg(F.min("jaccard")).first()[0] == 1.0
 
 
+def test_search_validates_and_reports(spark, world, tmp_path):
+    """Parameters are searched inside the folds; every report file is written."""
+    s, path, _, _ = world
+    train, held, labels = build.validation_sets(s)
+    chosen: list = []
+    scores = validate.bootstraps(train, labels, n_iter=1, n_splits=2, search=1, holdout=held, chosen=chosen)
+    assert len(chosen) == 2 * len(labels) and all(0 <= c[3] <= 1 and "featuresCol" in c[4] for c in chosen)
+    validate.write_reports(train, held, labels, scores, chosen, str(tmp_path))
+    assert {r.label for r in spark.read.csv(f"{tmp_path}/label_order.csv", header=True).collect()} == set(labels)
+    rows = spark.read.csv(f"{tmp_path}/results_f1_ml.tsv", sep="\t", header=True)
+    assert set(labels) <= {r.label for r in rows.collect()}
+    assert spark.read.text(f"{tmp_path}/stability.txt").count() == len(chosen)
+    assert {r.condition for r in spark.read.csv(f"{tmp_path}/binary_stats.csv", header=True).collect()} == {"validation", "holdout"}
+    assert spark.read.json(f"{tmp_path}/training_distribution.json").where("label = 'n_samples'").first().n == train.count()
+
+
 def test_command_line_needs_one_choice():
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["induce", "--predictions", "x"])
