@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .wordtable import slices
 
 #: Letters per n-gram, hash places per n-gram, slots (a power of two).
@@ -102,7 +103,7 @@ class Filters:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, share: float = SHARE) -> Filters:
-    """Filters from labelled rows; rows without text or language teach nothing.
+    """Filters from labelled rows; rows without text or language teach nothing, other columns are ignored.
 
     A seeded hash of the row picks about fit_rows rows per language at most. The
     driver receives the languages and, for each, at most 1 / share n-gram keys.
@@ -127,18 +128,18 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     keys, counts = np.unique(ngrams(texts)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "key", "n"])
 
-    counted = picked.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
+    counted = cut(picked.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg((F.sum("n") * share).alias("least")).withColumnRenamed("lang", "t_lang")
     kept = counted.join(F.broadcast(totals), F.col("lang") == F.col("t_lang")).where("n >= least").select("lang", "key").toPandas()
-    counted.unpersist()
     return Filters(languages, [kept.key[kept.lang == lang].to_numpy(np.int64).view(np.uint64) for lang in languages])
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row: whole texts, no other column is read.
 
-    und with score 0 if the text is null or has no letter, or nothing was learned.
+    und with score 0 if the text is null or has no letter, or nothing was learned. Of
+    languages with equal shares the first in code-point order is taken. Null and repeated
+    ids are ordinary rows, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # size fixed by SLOT_BITS and the number of languages
 

@@ -210,6 +210,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_c
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, keep: dict[str, Column] | None = None) -> DataFrame:
     """Token pieces of docs with their sequence_id and offset.
 
+    Null and empty texts are one piece of end_id alone; null and repeated ids are ordinary
+    rows; an empty table gives no rows; other columns are ignored. Words are encoded
+    together: plain ones 64 to a line, told apart by the vocabulary's word ends, all
+    others with a separator between them, or one by one where that can't tell them apart.
+
     keep: name -> expression over token_pieces' columns to carry instead of the ids
     themselves, such as a digest; the default carries the ids.
     """

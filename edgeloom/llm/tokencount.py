@@ -5,7 +5,7 @@ the rank of every adjacent pair, takes the lowest rank of every sequence and
 merges all its occurrences in all sequences at once; sequences without a mergeable
 pair leave the array. The surviving symbols are the tokens. A pair's own merge
 can only make pairs of higher rank, so merging all occurrences in one round equals
-merging them one by one from the left.
+merging them one by one from the left; a vocabulary for which this doesn't hold is refused.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ class RankMerger:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        if not self.ascending(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), made):
+            raise ValueError("a merge of the vocabulary makes a symbol that a merge of lower rank needs")
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int64), made
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -56,6 +58,15 @@ class RankMerger:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
+    @staticmethod
+    def ascending(left: np.ndarray, right: np.ndarray, made: np.ndarray) -> bool:
+        """Whether every merge, in order of rank, reads only symbols that are no merge's or a lower one's result."""
+        size = int(max(left.max(initial=0), right.max(initial=0), made.max(initial=0))) + 1
+        first = np.full(size, -1, np.int64)
+        first[made[::-1]] = np.arange(len(made))[::-1]  # the lowest rank that makes a symbol
+        rank = np.arange(len(made))
+        return bool((first[left] < rank).all() and (first[right] < rank).all())
+
     def pretokens(self, word: str) -> tuple[int, list[bytes]]:
         """Number of special tokens in the word, and the UTF-8 pre-tokens of the rest."""
         parts = self.special.split(word) if self.special and "<" in word else [word]

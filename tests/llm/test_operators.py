@@ -339,6 +339,33 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(frame(spark, special), nothing).collect()} == {"und"}
 
 
+def test_languages_by_brute_force():
+    """Bit-sliced filters and popcounts against plain sets of slots, language by language."""
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghilmnoprstuvé") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    texts = {lang: [words(30) for _ in range(6)] for lang in ("aa", "bb", "cc")}
+    keys = [np.unique(langid.ngrams(x)[0]) for x in texts.values()]
+    filters = langid.Filters(list(texts), keys)
+    sets = [{int(s) for place in langid.places(k) for s in place} for k in keys]
+    tests = [None, "", "12 !", texts["bb"][0], texts["aa"][3][:40] + " " + texts["cc"][1], *[words(12) for _ in range(20)]]
+    for text, (lang, score) in zip(tests, filters.predict(tests), strict=True):
+        key, _, has = langid.ngrams([text])
+        if not has[0]:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        share = []
+        for mine in sets:
+            false = (len(mine) / (1 << langid.SLOT_BITS)) ** langid.HASHES
+            hits = sum(all(int(p[k]) in mine for p in langid.places(key)) for k in range(len(key)))
+            share.append((hits / len(key) - false) / (1 - false))
+        assert lang == list(texts)[int(np.argmax(share))] and score == pytest.approx(min(1.0, max(0.0, max(share))))
+
+
+def test_merges_in_order():
+    up = tokencount.RankMerger.ascending
+    assert up(np.array([0, 3]), np.array([1, 2]), np.array([3, 4])) and not up(np.array([3, 0]), np.array([2, 1]), np.array([4, 3]))
+
+
 def test_many_languages_use_several_mask_words():
     keys = [np.arange(k * 50, k * 50 + 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in range(70)]
     filters = langid.Filters([f"l{k:02d}" for k in range(70)], keys)
@@ -500,6 +527,22 @@ def test_quality_rules(spark, docs, rows, empty):
     assert all(r.kept != r.base_failed and r.score == 0 for r in quality.judge(df, nobody).collect())
 
 
+def test_quality_on_held_out_trusted_rows(spark):
+    """The ratio and its threshold keep trusted rows they were not fitted on, and refuse junk."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    mine = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    trusted = quality.trusted_ids(labels.where(mine))
+    rows = quality.judge(docs, trusted).join(labels.where(~mine), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    got = {r.quality: (r.kept, r.n) for r in rows.collect()}
+    print(got)
+    assert got[1][0] > 0.95 and got[0][0] < 0.5
+
+
 def test_quality_scores(spark):
     """Scores against a plain count of hashed words and pairs."""
     import math
@@ -514,18 +557,20 @@ def test_quality_scores(spark):
         ones = [hashed[w] for w in WORDS.findall(text)]
         return ones + [(a * 8191 + b * 31 + 7) % quality.BUCKETS for a, b in zip(ones, ones[1:], strict=False)]
 
-    t, r = collections.Counter(), collections.Counter()
+    half = {x.t_id: x.h for x in trusted.select("t_id", quality.fold_of(F.col("t_id")).alias("h")).collect()}
+    t, r = [collections.Counter(), collections.Counter()], collections.Counter()
     for k, text in good + bad:
         r.update(grams(text))
         if k < 6:
-            t.update(grams(text))
+            t[half[k]].update(grams(text))
     log = lambda n, total: math.log((n + 1) / (total + quality.BUCKETS))
-    w = lambda b: round((log(t[b], sum(t.values())) - log(r[b], sum(r.values()))) * quality.UNIT)
+    one = lambda c, b: round((log(c[b], sum(c.values())) - log(r[b], sum(r.values()))) * quality.UNIT) if c else 0
+    w = lambda b: (one(t[0], b) + one(t[1], b)) // 2
     got = {x.doc_id: (x.score, x.kept) for x in quality.judge(df, trusted).collect()}
     for k, text in good + bad:
         g = grams(text)
         assert got[k][0] == pytest.approx(sum(map(w, g)) / (len(g) + quality.SHRINK), abs=2)
-    assert min(got[k][0] for k in range(6)) > 0 > max(got[50 + k][0] for k in range(6))
+    assert min(got[k][0] for k in range(6)) > max(got[50 + k][0] for k in range(6)) and all(got[k][1] for k in range(6))
 
 
 # ---- shards
