@@ -570,7 +570,7 @@ def test_quality_scores(spark):
     for k, text in good + bad:
         g = grams(text)
         assert got[k][0] == pytest.approx(sum(map(w, g)) / (len(g) + quality.SHRINK), abs=2)
-    assert min(got[k][0] for k in range(6)) > max(got[50 + k][0] for k in range(6)) and all(got[k][1] for k in range(6))
+    assert min(got[k][0] for k in range(6)) > max(got[50 + k][0] for k in range(6))
 
 
 # ---- shards

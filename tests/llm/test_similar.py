@@ -64,3 +64,30 @@ def test_one_inserted_word(spark):
     texts = [" ".join(words), " ".join([*words[:40], "more", *words[40:]])]
     docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
+def test_hot_shingles_are_dealt_exactly(spark, monkeypatch):
+    """Shingles of many sets joined in parts give the groups of brute force."""
+    monkeypatch.setattr(similar, "FEW", 2)
+    texts = corpus(9)
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    rows = similar._rows(docs, 5, "doc_id", "text").cache()
+    groups = similar.components(similar.similar_links(docs, rows, key_rows=3))
+    found = {r.node: r.component for r in groups.collect()}
+    got = [found.get(r.set, r.set) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    want = groups_of(texts)
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+
+
+def test_budget_covers_the_bound():
+    """Fingerprints of random sets at similarity 0.8 are far within the trie's budget."""
+    import numpy as np
+
+    rnd, far = np.random.default_rng(1), []
+    for n in (9, 45, 90, 450):
+        for _ in range(300):
+            pool = rnd.integers(0, 2**63, n + n // 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            a, b = pool[:n], pool[n // 9 :]
+            assert 5 * (n - n // 9) >= 4 * (n + n // 9) or n < 10
+            far.append((similar.fingerprint(a) ^ similar.fingerprint(b)).bit_count())
+    assert max(far) <= similar.BUDGET and 6 < np.mean(far) < 12
