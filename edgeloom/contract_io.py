@@ -18,7 +18,6 @@ from .operators import features, mapping, network, ontology, store
 from .operators.iterate import shared_dir
 from .sources import curated, edgelists, files, ontologies, proteins
 
-NONE = F.lit(None).cast("string")
 
 
 def place(spark: SparkSession) -> str:
@@ -41,13 +40,12 @@ def join(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-PART, SIZE, SUPP = F.col("p_partkey"), F.col("p_size"), F.col("s_suppkey")
 PLAIN = "SELECT upper('p' || p_partkey) source, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE upper('q' || p_size) END target, count(*) n FROM part GROUP BY ALL"
 
 
 def plain(spark, d):
-    target = F.when(SIZE % 5 == 0, "-").when(SIZE % 5 == 1, " Unknown ").otherwise(join(" q", SIZE))
-    return table(spark, d, "part").select(join("p", PART).alias("a"), target.alias("b"))
+    target = F.when(F.col("p_size") % 5 == 0, "-").when(F.col("p_size") % 5 == 1, " Unknown ").otherwise(join(" q", F.col("p_size")))
+    return table(spark, d, "part").select(join("p", F.col("p_partkey")).alias("a"), target.alias("b"))
 
 
 @query(PLAIN)
@@ -64,7 +62,7 @@ def read_bioplex(spark, d):
 
 @query("SELECT upper('p' || p_partkey) source, upper('q' || p_size) target, count(*) n FROM part GROUP BY ALL")
 def read_sif(spark, d):
-    at = cells(table(spark, d, "part"), join("p", PART), F.lit("pp"), join("q", SIZE), sep=" ", header=False)
+    at = cells(table(spark, d, "part"), join("p", F.col("p_partkey")), F.lit("pp"), join("q", F.col("p_size")), sep=" ", header=False)
     return counted(edgelists.READERS["sif"](spark, at), "source", "target")
 
 
@@ -79,20 +77,20 @@ def read_innate_mitab(spark, d):
 
 @query("SELECT 'P' || p_partkey source, 'Q' || p_size target, p_size || ',' || (p_size + 1) pubmed, 'MI:1|MI:2,None' experiment_type, count(*) n FROM part GROUP BY ALL")
 def read_pina_mitab(spark, d):
-    row = [join("uniprotkb:p", PART), join("uniprotkb:q", SIZE), *[F.lit("-")] * 4, F.lit("MI:2(b)|-|mi:1 (a)|MI:2(b)"), F.lit("-"), join("pubmed:", SIZE, "|pubmed:", SIZE + 1, "|pubmed:", SIZE, "|pubmed:", SIZE)]
+    row = [join("uniprotkb:p", F.col("p_partkey")), join("uniprotkb:q", F.col("p_size")), *[F.lit("-")] * 4, F.lit("MI:2(b)|-|mi:1 (a)|MI:2(b)"), F.lit("-"), join("pubmed:", F.col("p_size"), "|pubmed:", F.col("p_size") + 1, "|pubmed:", F.col("p_size"), "|pubmed:", F.col("p_size"))]
     at = cells(table(spark, d, "part"), *row, *[F.lit("-")] * 11)
     return counted(edgelists.READERS["pina_mitab"](spark, at), "source", "target", "pubmed", "experiment_type")
 
 
 def modified(spark, d):
-    sup = F.when(PART % 7 == 0, "-").otherwise(join("H", PART % 50))
-    row = [join("H", SIZE), F.lit("G"), F.lit("i"), F.lit("r"), F.lit("1"), F.lit("K"), F.lit("E"), sup, F.when(SIZE % 2 == 0, "Phosphorylation").otherwise("Proteolytic Cleavage"), F.lit("in vivo;in vitro"), join(PART, ",", PART + 1)]
+    sup = F.when(F.col("p_partkey") % 7 == 0, "-").otherwise(join("H", F.col("p_partkey") % 50))
+    row = [join("H", F.col("p_size")), F.lit("G"), F.lit("i"), F.lit("r"), F.lit("1"), F.lit("K"), F.lit("E"), sup, F.when(F.col("p_size") % 2 == 0, "Phosphorylation").otherwise("Proteolytic Cleavage"), F.lit("in vivo;in vitro"), join(F.col("p_partkey"), ",", F.col("p_partkey") + 1)]
     return curated.read_modifications(spark, cells(table(spark, d, "part"), *row, header=False))
 
 
 def xrefs(spark, d):
     s = table(spark, d, "supplier")
-    row = [join("H", SUPP), F.lit("G"), F.lit("-"), F.lit("-"), F.lit("1"), F.lit("2"), join("s", SUPP, ",t", SUPP), F.lit("name")]
+    row = [join("H", F.col("s_suppkey")), F.lit("G"), F.lit("-"), F.lit("-"), F.lit("1"), F.lit("2"), join("s", F.col("s_suppkey"), ",t", F.col("s_suppkey")), F.lit("name")]
     return curated.read_xrefs(spark, cells(s, *row, header=False))
 
 
@@ -109,7 +107,7 @@ def read_xrefs(spark, d):
 @query("""WITH m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'Phosphorylation' ELSE 'Proteolytic-cleavage' END lb, 's' || (p_partkey % 50) a, 's' || p_size b, p_partkey k FROM part WHERE p_partkey % 7 > 0 AND p_size IN (SELECT s_suppkey FROM supplier) AND p_partkey % 50 IN (SELECT s_suppkey FROM supplier))
  SELECT least(a, b) source, greatest(a, b) target, lb AS label, count(DISTINCT k) + count(DISTINCT CASE WHEN NOT EXISTS (SELECT 1 FROM m y WHERE least(y.a, y.b) = least(m.a, m.b) AND greatest(y.a, y.b) = greatest(m.a, m.b) AND y.lb = m.lb AND y.k = m.k + 1) THEN k END) n_refs FROM m GROUP BY ALL""")
 def modification_network(spark, d):
-    known = table(spark, d, "supplier").select(F.explode(F.array(join("s", SUPP), join("t", SUPP))).alias("uniprot_id"))
+    known = table(spark, d, "supplier").select(F.explode(F.array(join("s", F.col("s_suppkey")), join("t", F.col("s_suppkey")))).alias("uniprot_id"))
     known = known.withColumn("reviewed", F.col("uniprot_id").startswith("s"))
     out = curated.modification_network(modified(spark, d), xrefs(spark, d), known, allow_self_edges=True)
     return out.select("source", "target", "label", F.size(F.split("pubmed", ",")).cast("long").alias("n_refs"))
@@ -117,9 +115,9 @@ def modification_network(spark, d):
 
 def pathway(spark, d):
     s = table(spark, d, "supplier")
-    entries = s.select((SUPP % 5).alias("pathway"), SUPP.alias("id"), join("hsa:", SUPP, " mmu:", SUPP, " hsa:x", SUPP).alias("name"), F.when(SUPP % 3 == 0, "compound").otherwise("gene").alias("type"))
-    relations = s.select((SUPP % 5).alias("pathway"), SUPP.alias("entry1"), (SUPP + 5).alias("entry2"), F.when(SUPP % 2 == 0, "binding/association").otherwise("missing interaction").alias("name"), F.when(SUPP % 11 == 0, "maplink").otherwise("PPrel").alias("link"))
-    names = s.select(F.explode(F.array(join("hsa:", SUPP), join("mmu:", SUPP))).alias("old"), join("u", SUPP).alias("new"))
+    entries = s.select((F.col("s_suppkey") % 5).alias("pathway"), F.col("s_suppkey").alias("id"), join("hsa:", F.col("s_suppkey"), " mmu:", F.col("s_suppkey"), " hsa:x", F.col("s_suppkey")).alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "compound").otherwise("gene").alias("type"))
+    relations = s.select((F.col("s_suppkey") % 5).alias("pathway"), F.col("s_suppkey").alias("entry1"), (F.col("s_suppkey") + 5).alias("entry2"), F.when(F.col("s_suppkey") % 2 == 0, "binding/association").otherwise("missing interaction").alias("name"), F.when(F.col("s_suppkey") % 11 == 0, "maplink").otherwise("PPrel").alias("link"))
+    names = s.select(F.explode(F.array(join("hsa:", F.col("s_suppkey")), join("mmu:", F.col("s_suppkey")))).alias("old"), join("u", F.col("s_suppkey")).alias("new"))
     return entries, relations, names
 
 
@@ -140,7 +138,7 @@ def pathway_network(spark, d):
 
 @query("SELECT 'u' || s_suppkey AS old, 'hsa:' || s_suppkey AS new FROM supplier")
 def invert_names(spark, d):
-    return mapping.invert(table(spark, d, "supplier").select(join("up:hsa:", SUPP).alias("old"), join("u", SUPP).alias("new")))
+    return mapping.invert(table(spark, d, "supplier").select(join("up:hsa:", F.col("s_suppkey")).alias("old"), join("u", F.col("s_suppkey")).alias("new")))
 
 
 def obo(spark, d) -> str:
@@ -148,11 +146,11 @@ def obo(spark, d) -> str:
     p = table(spark, d, "part")
     line = lambda cond, *x: F.when(cond, join(*x, "\n")).otherwise("")
     stanza = F.concat(
-        join("[Term]\nid: T:", PART, "\nname: ", F.col("p_name"), " ! x\nnamespace: biological_process\n"),
-        line(PART > 1, "is_a: T:", F.expr("p_partkey div 2"), ' {source="a"} ! parent'), line(PART > 2, "relationship: part_of T:", F.expr("p_partkey div 3"), " ! whole"),
-        line(PART > 3, "relationship: regulates T:1"), line(SIZE % 9 == 0, "is_obsolete: true"), line(SIZE % 4 == 0, "alt_id: A:", PART),
+        join("[Term]\nid: T:", F.col("p_partkey"), "\nname: ", F.col("p_name"), " ! x\nnamespace: biological_process\n"),
+        line(F.col("p_partkey") > 1, "is_a: T:", F.expr("p_partkey div 2"), ' {source="a"} ! parent'), line(F.col("p_partkey") > 2, "relationship: part_of T:", F.expr("p_partkey div 3"), " ! whole"),
+        line(F.col("p_partkey") > 3, "relationship: regulates T:1"), line(F.col("p_size") % 9 == 0, "is_obsolete: true"), line(F.col("p_size") % 4 == 0, "alt_id: A:", F.col("p_partkey")),
     )
-    text = p.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(PART, stanza.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    text = p.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p_partkey"), stanza.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     at = place(spark)
     text.select(join("format-version: 1.2\nontology: parts\n\n", F.col("t"))).coalesce(1).write.text(at)
     return at
@@ -174,8 +172,8 @@ def read_vocabulary(spark, d):
 @query("SELECT 'P' || p_partkey uniprot_id, 9606 taxon_id, 'G' || p_size gene_id, 'GO:' || p_size go_mf, 'IPR' || p_partkey || ',IPR' || (p_partkey + 1) interpro, 'Kinase,Membrane' keywords, 'Does ' || p_name || ' well.' AS function, p_size % 2 = 0 reviewed, p_partkey AS last_release FROM part WHERE p_size % 3 > 0")
 def read_proteins(spark, d):
     text = join(
-        "ID   N", PART, "_HUMAN   ", F.when(SIZE % 2 == 0, "Reviewed").otherwise("Unreviewed"), ";  10 AA.\nAC   P", PART, "; Q1;\nDT   12-APR-2017, entry version ", PART, ".\nGN   Name=G", SIZE, " {ECO:1}; Synonyms=A1, A2;\nOX   NCBI_TaxID=",
-        F.when(SIZE % 3 > 0, "9606").otherwise("10090"), ";\nCC   -!- FUNCTION: Does ", F.col("p_name"), "\nCC       well.\nDR   GO; GO:", SIZE, "; F:x; IEA.\nDR   InterPro; IPR", PART + 1, "; a.\nDR   InterPro; IPR", PART, "; b.\nKW   Membrane; Kinase {ECO:2}.\n//",
+        "ID   N", F.col("p_partkey"), "_HUMAN   ", F.when(F.col("p_size") % 2 == 0, "Reviewed").otherwise("Unreviewed"), ";  10 AA.\nAC   P", F.col("p_partkey"), "; Q1;\nDT   12-APR-2017, entry version ", F.col("p_partkey"), ".\nGN   Name=G", F.col("p_size"), " {ECO:1}; Synonyms=A1, A2;\nOX   NCBI_TaxID=",
+        F.when(F.col("p_size") % 3 > 0, "9606").otherwise("10090"), ";\nCC   -!- FUNCTION: Does ", F.col("p_name"), "\nCC       well.\nDR   GO; GO:", F.col("p_size"), "; F:x; IEA.\nDR   InterPro; IPR", F.col("p_partkey") + 1, "; a.\nDR   InterPro; IPR", F.col("p_partkey"), "; b.\nKW   Membrane; Kinase {ECO:2}.\n//",
     )
     at = place(spark)
     table(spark, d, "part").select(text).write.text(at)
@@ -186,27 +184,27 @@ def read_proteins(spark, d):
 
 @query("SELECT 'IPR' || p_partkey id, p_name AS name FROM part")
 def read_names(spark, d):
-    return files.read_names(spark, cells(table(spark, d, "part"), join("ipr", PART), F.lit("x"), F.col("p_name"), header=False))
+    return files.read_names(spark, cells(table(spark, d, "part"), join("ipr", F.col("p_partkey")), F.lit("x"), F.col("p_name"), header=False))
 
 
 @query("SELECT 'A' || p_partkey source, 'B' || p_size target, CASE WHEN p_size % 2 = 0 THEN p_brand END AS label FROM part")
 def saved_network(spark, d):
     at = place(spark)
-    edgelists.save_network(table(spark, d, "part").select(join("A", PART).alias("source"), join("B", SIZE).alias("target"), F.when(SIZE % 2 == 0, F.col("p_brand")).alias("label")), at)
+    edgelists.save_network(table(spark, d, "part").select(join("A", F.col("p_partkey")).alias("source"), join("B", F.col("p_size")).alias("target"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("label")), at)
     return edgelists.load_network(spark, at)
 
 
 @query("SELECT 's' || s_nationkey AS old, 'u' || s_suppkey AS new FROM supplier")
 def saved_map(spark, d):
     at = place(spark)
-    files.write_map(table(spark, d, "supplier").select(join("s", F.col("s_nationkey")).alias("old"), join("u", SUPP).alias("new")), at)
+    files.write_map(table(spark, d, "supplier").select(join("s", F.col("s_nationkey")).alias("old"), join("u", F.col("s_suppkey")).alias("new")), at)
     return files.read_saved_map(spark, at)
 
 
 @query("SELECT CASE WHEN p_size % 2 = 0 THEN '1' ELSE '0' END || ',' || len(regexp_extract_all(p_name, '\\bred\\b')) || ',' || len(regexp_extract_all(p_name, '\\bblue\\b')) AS line, count(*) n FROM part GROUP BY ALL UNION ALL SELECT unnest(['@ATTRIBUTE even {0,1}', '@ATTRIBUTE red NUMERIC', '@ATTRIBUTE blue NUMERIC']), 1")
 def arff(spark, d):
     at = place(spark)
-    rows = table(spark, d, "part").withColumn("label", F.when(SIZE % 2 == 0, "even").otherwise("odd"))
+    rows = table(spark, d, "part").withColumn("label", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"))
     files.write_arff(rows, at, ["even"], ["p_name"], ["red", "blue"])
     lines = spark.read.text(at).where("value rlike '^(@ATTRIBUTE|[0-9])'")
     return counted(lines.select(F.col("value").alias("line")), "line")
@@ -258,7 +256,7 @@ def lookup_interactions(spark, d):
 
 @query("SELECT n_name, x.s AS last_supplier FROM nation LEFT JOIN (SELECT s_nationkey k, 's' || max(s_suppkey) s FROM supplier GROUP BY 1) x ON n_nationkey = k")
 def enrich_names(spark, d):
-    names = table(spark, d, "supplier").select(join("s", SUPP).alias("old"), F.col("s_nationkey").alias("new"), SUPP.alias(E.ORDER))
+    names = table(spark, d, "supplier").select(join("s", F.col("s_suppkey")).alias("old"), F.col("s_nationkey").alias("new"), F.col("s_suppkey").alias(E.ORDER))
     out = mapping.enrich(table(spark, d, "nation"), "n_nationkey", mapping.reverse_last(names), "new", "old", "last_supplier")
     return out.select("n_name", "last_supplier")
 
@@ -271,27 +269,27 @@ def duplicate_keys(spark, d):
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct([upper(p_type[1:1]) || lower(p_type[2:]), upper(p_brand[1:1]) || lower(p_brand[2:])])), ',') words, nullif(trim(CASE WHEN p_size % 2 = 0 THEN '  ' ELSE ' ' || p_name END), '') AS text, CASE WHEN p_size % 3 > 0 THEN upper(p_brand) END accession FROM part")
 def cell_rules(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", T.keywords(F.concat_ws(" , ", "p_type", "p_brand", "p_type", F.lit(""))).alias("words"), T.text_or_null(F.when(SIZE % 2 == 0, "  ").otherwise(join(" ", F.col("p_name")))).alias("text"), T.valid_accession(F.when(SIZE % 3 > 0, join(" ", F.lower("p_brand"))).otherwise(" ")).alias("accession"))
+    return p.select("p_partkey", T.keywords(F.concat_ws(" , ", "p_type", "p_brand", "p_type", F.lit(""))).alias("words"), T.text_or_null(F.when(F.col("p_size") % 2 == 0, "  ").otherwise(join(" ", F.col("p_name")))).alias("text"), T.valid_accession(F.when(F.col("p_size") % 3 > 0, join(" ", F.lower("p_brand"))).otherwise(" ")).alias("accession"))
 
 
 @query("SELECT p_partkey, pmid, psimis, p_size % 2 = 0 aligned FROM (SELECT p_partkey, p_size, unnest([CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)]) pmid, unnest(['MI:1|MI:2', CASE WHEN p_size % 2 = 0 THEN '' ELSE '' END]) psimis FROM part)")
 def references(spark, d):
     p = table(spark, d, "part")
-    pmids, groups = F.concat_ws(",", PART.cast("string"), SIZE.cast("string")), F.when(SIZE % 2 == 0, "mi:1| MI:2,None").otherwise("MI:1|mi:2")
+    pmids, groups = F.concat_ws(",", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")), F.when(F.col("p_size") % 2 == 0, "mi:1| MI:2,None").otherwise("MI:1|mi:2")
     rows = p.select("p_partkey", F.explode(T.references(pmids, groups)).alias("r"), T.references_aligned(pmids, groups).alias("aligned"))
     return rows.select("p_partkey", F.col("r.pmid").alias("pmid"), F.array_join("r.psimis", "|").alias("psimis"), "aligned")
 
 
 @query("SELECT 'A' || p_partkey || '-B' || p_size AS pair, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END n_labels FROM part")
 def pairs_and_labels(spark, d):
-    rows = table(spark, d, "part").select(join("A", PART).alias("source"), join("B", SIZE).alias("target"), F.when(SIZE % 2 == 0, "x, y").otherwise("-").alias("label"))
+    rows = table(spark, d, "part").select(join("A", F.col("p_partkey")).alias("source"), join("B", F.col("p_size")).alias("target"), F.when(F.col("p_size") % 2 == 0, "x, y").otherwise("-").alias("label"))
     return E.pairs_and_labels(rows).select(F.array_join("pair", "-").alias("pair"), F.size("labels").alias("n_labels"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS name, row_number() OVER (ORDER BY f, p_partkey) - 1 AS place FROM (SELECT p_partkey, 1 f FROM part UNION ALL SELECT p_partkey, 2 FROM part) ORDER BY place LIMIT 50")
 def concat_in_order(spark, d):
     """A top-k: the first fifty rows of two frames that follow each other."""
-    one = table(spark, d, "part").select(PART.cast("string").alias("name"), PART.cast("long").alias(E.ORDER))
+    one = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").cast("long").alias(E.ORDER))
     both = E.concat([one, one]).orderBy(E.ORDER).limit(50)
     return both.select("name", (F.row_number().over(Window.orderBy(E.ORDER)) - 1).cast("long").alias("place"))
 
@@ -303,18 +301,18 @@ TERMS = "WITH t AS (SELECT 'T:' || p_partkey id, p_size % 9 = 0 obs, p_partkey k
 def without_obsolete(spark, d):
     """Alternative ids first, then rows of known terms that are in use."""
     p = table(spark, d, "part")
-    terms = p.select(join("T:", PART).alias("id"), (SIZE % 9 == 0).alias("is_obsolete"))
-    alt = p.where(SIZE % 4 == 0).select(join("A:", PART).alias("alt"), join("T:", PART).alias("id"))
-    named = table(spark, d, "lineitem").join(p.select("p_partkey", "p_size"), F.col("l_partkey") == PART)
-    rows = named.select("l_orderkey", F.when(SIZE % 4 == 0, join("A:", F.col("l_partkey"))).otherwise(join("T:", F.col("l_partkey"))).alias("term"))
+    terms = p.select(join("T:", F.col("p_partkey")).alias("id"), (F.col("p_size") % 9 == 0).alias("is_obsolete"))
+    alt = p.where(F.col("p_size") % 4 == 0).select(join("A:", F.col("p_partkey")).alias("alt"), join("T:", F.col("p_partkey")).alias("id"))
+    named = table(spark, d, "lineitem").join(p.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = named.select("l_orderkey", F.when(F.col("p_size") % 4 == 0, join("A:", F.col("l_partkey"))).otherwise(join("T:", F.col("l_partkey"))).alias("term"))
     return counted(ontology.without_obsolete(ontology.canonical_ids(rows, "term", alt), "term", terms), "l_orderkey", "term")
 
 
 @query(DAG + ", q AS (SELECT p_partkey t, p_partkey // 4 a FROM part) SELECT q.t AS term, q.a AS ancestor, an.t IS NOT NULL AS found, (SELECT count(DISTINCT p) FROM g WHERE g.c = q.t) n_parents FROM q LEFT JOIN an ON an.t = q.t AND an.a = q.a")
 def ancestry(spark, d):
     p, edges = table(spark, d, "part"), dag(spark, d)
-    asked = ontology.has_ancestor(p.select(PART.alias("term"), F.expr("p_partkey div 4").alias("ancestor")), ontology.closure(edges))
-    up = ontology.parents(edges, p.select(PART.alias("id"))).groupBy("child").agg(F.count("*").alias("n"))
+    asked = ontology.has_ancestor(p.select(F.col("p_partkey").alias("term"), F.expr("p_partkey div 4").alias("ancestor")), ontology.closure(edges))
+    up = ontology.parents(edges, p.select(F.col("p_partkey").alias("id"))).groupBy("child").agg(F.count("*").alias("n"))
     return asked.join(up, F.col("term") == F.col("child"), "left").select("term", "ancestor", "found", F.coalesce("n", F.lit(0)).alias("n_parents"))
 
 
@@ -323,11 +321,11 @@ def ancestry(spark, d):
 def pair_features(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "supplier").count()
     empty = {c: F.lit(None).cast("string") for c in features.BAGS}
-    people = s.select(join("S", SUPP).alias("uniprot_id"), *[x.alias(c) for c, x in (empty | {"go_mf": join("T:", SUPP % 7 + 1), "interpro": join("IPR", SUPP % 3)}).items()])
+    people = s.select(join("S", F.col("s_suppkey")).alias("uniprot_id"), *[x.alias(c) for c, x in (empty | {"go_mf": join("T:", F.col("s_suppkey") % 7 + 1), "interpro": join("IPR", F.col("s_suppkey") % 3)}).items()])
     edges = spark.range(2, 9).select(join("T:", F.col("id")).alias("child"), join("T:", F.expr("id div 2")).alias("parent"), F.lit("is_a").alias("rel"))
     terms = spark.range(1, 9).select(join("T:", F.col("id")).alias("id"), F.lit("molecular_function").alias("namespace"))
     paths = ontology.closure(edges)
-    pairs = s.select(join("S", SUPP).alias("source"), join("S", SUPP * 7 % n).alias("target"))
+    pairs = s.select(join("S", F.col("s_suppkey")).alias("source"), join("S", F.col("s_suppkey") * 7 % n).alias("target"))
     return features.pair_features(pairs, people, terms, paths, ontology.depths(terms, paths)).select("source", "target", "go_mf", "interpro")
 
 
