@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_keys
 from .components import components
 from .wordtable import slices
 
@@ -47,7 +47,7 @@ def shingle_hashes(text: str | None, words: int = 4) -> list[int]:
 
 def fingerprint(hashes: list[int]) -> int:
     """Bit b is 1 if it is set in over half the hashes; 0 for none."""
-    if not hashes:
+    if not len(hashes):
         return 0
     raw, total = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
     for at in range(0, len(raw), CHUNK):
@@ -117,8 +117,28 @@ class Joiner:
             lo = np.where(open_ & ~is_set, mid + 1, lo)
 
     def run(self, starts: np.ndarray, ends: np.ndarray, split: np.ndarray | None = None) -> None:
+        """Put what is near into components, by walk."""
+
+        def whole(a0: int, a1: int, b0: int, b1: int) -> None:
+            members = np.concatenate([np.arange(a0, a1), np.arange(b0, b1)])
+            self.unite(members[1:], np.full(len(members) - 1, members[0]))
+
+        self.walk(starts, ends, split, self.unite, whole)
+
+    def walk(self, starts: np.ndarray, ends: np.ndarray, split: np.ndarray | None, near, whole=None) -> None:
         """Join the members [start, end) of each key with themselves; with split, only
-        members before it with members from it on (both sorted)."""
+        members before it with members from it on (both sorted).
+
+        near(a, b) gets places of members within the budget. whole(a0, a1, b0, b1) gets
+        two ranges that are linked throughout; without it near gets all their pairs.
+        """
+        if whole is None:
+
+            def whole(a0: int, a1: int, b0: int, b1: int) -> None:
+                for a in range(a0, a1):
+                    first = a + 1 if (a0, a1) == (b0, b1) else b0
+                    near(np.full(b1 - first, a), np.arange(first, b1))
+
         first = (starts, ends, starts, ends) if split is None else (starts, split, split, ends)
         zero = np.zeros(len(starts), np.int64)
         stack = [(*first, zero, np.full(len(starts), BITS - 1))]
@@ -131,14 +151,13 @@ class Joiner:
             single = (a1 - a0 == 1) & (b1 - b0 == 1)
             if single.any():  # two leaves: all remaining bits at once
                 a, b = a0[single], b0[single]
-                near = np.bitwise_count(self.values[a] ^ self.values[b]) <= self.budget
-                self.unite(a[near], b[near])
+                hit = (a != b) & (np.bitwise_count(self.values[a] ^ self.values[b]) <= self.budget)
+                near(a[hit], b[hit])
             # a pair of subtrees whose remaining bits fit in the budget is linked throughout
-            whole = ~single & (far + bit + 1 <= self.budget)
-            for k in np.flatnonzero(whole):
-                members = np.concatenate([np.arange(a0[k], a1[k]), np.arange(b0[k], b1[k])])
-                self.unite(members[1:], np.full(len(members) - 1, members[0]))
-            go = ~single & ~whole
+            all_in = ~single & (far + bit + 1 <= self.budget)
+            for k in np.flatnonzero(all_in):
+                whole(int(a0[k]), int(a1[k]), int(b0[k]), int(b1[k]))
+            go = ~single & ~all_in
             a0, a1, b0, b1, far, bit = (x[go] for x in (a0, a1, b0, b1, far, bit))
             if not len(a0):
                 continue
@@ -175,37 +194,42 @@ def _joined(keys: np.ndarray, sides: np.ndarray, values: np.ndarray, budget: int
     return values[at], values[joiner.find(at)]
 
 
-def links(prints: DataFrame, budget: int = 4, agree: int = 2, key_rows: int = KEY_ROWS) -> DataFrame:
-    """u, v: links between the distinct values fp of prints whose transitive closure is
-    that of all pairs at most budget bits apart.
+def deal(keyed: DataFrame, key_rows: int) -> DataFrame:
+    """key, side, fp and what else keyed(key, fp, ...) has, as tasks take it.
 
-    A key with over key_rows values is dealt into parts, and every pair of parts is a
-    task of its own, so no task grows with a key.
+    A key with over key_rows rows is dealt into parts and every pair of parts becomes a
+    key of its own, so no task grows with a key. side: 0 and 1 where only rows of
+    different sides are compared, 2 where all are.
     """
+    rest = [c for c in keyed.columns if c not in ("key", "fp")]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_key"))
+    hot = cut(sizes.where(F.col("n_key") > key_rows).select(F.col("key").alias("h"), F.ceil(F.col("n_key") / key_rows).cast("int").alias("n_parts")))
+    if hot.isEmpty():
+        return keyed.select("key", F.lit(2).alias("side"), "fp", *rest)
+    keyed = keyed.join(hot, F.col("key") == F.col("h"), "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("n_parts") - 1)
+    task = F.transform(every, lambda p: F.struct(F.xxhash64("key", F.least(p, own), F.greatest(p, own)).alias("key"), F.when(p == own, 2).when(own < p, 0).otherwise(1).alias("side")))
+    one = F.array(F.struct(F.col("key").alias("key"), F.lit(2).alias("side")))
+    dealt = keyed.select("fp", *rest, F.explode(F.when(F.col("n_parts").isNull(), one).otherwise(task)).alias("x"))
+    return dealt.select("x.key", "x.side", "fp", *rest)
+
+
+def links(prints: DataFrame, budget: int = 4, agree: int = 2, key_rows: int = KEY_ROWS) -> DataFrame:
+    """u, v: links between the distinct values fp of prints whose transitive closure is
+    that of all pairs at most budget bits apart. A task holds about key_rows rows at a time."""
     tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), (F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).alias("k")) for k, m in enumerate(masks(budget, agree))]))
     keyed = prints.select("fp", tables.alias("x")).select("fp", F.xxhash64("x.t", "x.k").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = cut(sizes.where(F.col("n") > key_rows).select(F.col("key").alias("h"), F.ceil(F.col("n") / key_rows).cast("int").alias("parts")))
-    if hot.isEmpty():
-        dealt = keyed.select("key", F.lit(2).alias("side"), "fp")
-    else:
-        keyed = keyed.join(hot, F.col("key") == F.col("h"), "left")
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        task = F.transform(every, lambda p: F.struct(F.xxhash64("key", F.least(p, part), F.greatest(p, part)).alias("key"), F.when(p == part, 2).when(part < p, 0).otherwise(1).alias("side")))
-        one = F.array(F.struct(F.col("key").alias("key"), F.lit(2).alias("side")))
-        dealt = keyed.select("fp", F.explode(F.when(F.col("parts").isNull(), one).otherwise(task)).alias("x")).select("x.key", "x.side", "fp")
 
     def run(batches):
         import pyarrow as pa
 
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if got:
-            keys, sides, values = (np.concatenate(x) for x in zip(*got, strict=True))
+        for group in whole_keys(batches, 0, 10 * key_rows):
+            keys, sides, values = (group.column(k).to_numpy() for k in range(3))
             u, v = _joined(keys, sides, values.view(np.uint64), budget)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return dealt.repartition("key").mapInArrow(run, "u long, v long").distinct()
+    return deal(keyed, key_rows).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

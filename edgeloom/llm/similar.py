@@ -1,32 +1,47 @@
-"""Near-duplicates by exact shingle similarity: every pair at or over the bound is found.
-
-Texts are sets of word shingles. In any fixed order of the shingles, two sets with
-similarity num/den share one among the first n - ceil(n * num / den) + 1 shingles of each
-(prefix filter), so sets meet in the shingles of their prefixes. Shingles that a sample
-shows to be common come last in the order; the sample steers cost only, never results.
-In a shingle of many sets all are first compared with one of them; what is left apart
-is compared pair by pair. So n near copies of one text cost n pairs, not n squared.
+"""SimHash near-duplicates down to a shingle similarity: every pair at or over the bound is found.
+
+Texts are sets of word shingles with a fingerprint each. Tables of fingerprint blocks
+serve a few differing bits; at a similarity of 0.8 fingerprints differ in about 10 of 64,
+where such tables lose most pairs. So fingerprints meet by shingles instead: in any fixed
+order of the shingles, two sets with similarity num/den share one among the first
+n - ceil(n * num / den) + 1 of each (prefix filter). Shingles that a sample shows to be
+common come last in the order; the sample steers cost only, never results. At each
+shingle the binary trie self-join names the pairs within the error budget, and their exact
+similarity is taken from the texts.
+
+A shingle of many sets is first compared with one of its sets; what is left apart is joined
+by the trie. So n near copies of one text cost about n pairs, not n squared. Texts travel
+to be compared only where a pair is named, and a hub with many pairs is dealt in parts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_keys
 from .components import components
-from .simhash import keep_least, shingle_hashes
+from .simhash import KEY_ROWS, Joiner, deal, fingerprint, keep_least, shingle_hashes
+from .suffixes import hash_keys
 from .wordtable import slices
 
 #: Similarity from which on two texts are near duplicates: 4/5.
 LEAST = (4, 5)
+#: Differing bits up to which the trie names a pair. At the bound about 10 are expected and
+#: 24 are five standard deviations away.
+BUDGET = 24
 #: Texts sampled for the order of shingles, texts from which on a shingle is common there, and most common shingles.
 SAMPLE, COMMON, MOST = 4_000, 4, 200_000
-#: Sets of one shingle up to which all its pairs are compared at once.
+#: Sets of one shingle up to which the trie names all pairs at once.
 FEW = 32
-#: Text hashes up to which they are broadcast.
-BROADCAST = 200_000
+#: Rows of texts wanted for comparison up to which their ids are broadcast, and pairs of a hub that one task compares.
+BROADCAST, STAR = 200_000, 256
+#: Shingles that one range of keys stands for.
+RANGE_KEYS = 4_000_000
+#: What a set sends to each shingle of its prefix: the key's lower 40 bits, the set, its
+#: fingerprint and size, and the shingle's place in the prefix (a lower bound for it).
+CELL = np.dtype([("lo", "<u4"), ("hi", "u1"), ("set", "<i8"), ("fp", "<u8"), ("n", "<u4"), ("at", "<u2")])
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -59,16 +74,8 @@ def _common(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(MOST).select("key").collect()], np.int64))
 
 
-def _prefixes(docs: DataFrame, words: int, least: tuple[int, int], common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, set, n (its size), keys (its prefix) for every row."""
-    num, den = least
-
-    def prefix(found: np.ndarray) -> np.ndarray:
-        size = len(found) - (num * len(found) + den - 1) // den + 1 if len(found) else 0
-        if len(common):
-            late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-            found = np.concatenate([found[~late], found[late]])
-        return found[:size]
+def _rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, set, n (its size) for every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -76,91 +83,254 @@ def _prefixes(docs: DataFrame, words: int, least: tuple[int, int], common: np.nd
         for batch in batches:
             for piece in slices(batch):
                 sets = [shingle_set(t, words) for t in piece.column(1).to_pylist()]
-                columns = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([prefix(x) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *columns], ["doc_id", "text_hash", "set", "n", "keys"])
+                columns = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *columns], ["doc_id", "text_hash", "set", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n int")
 
 
-def _sets(docs: DataFrame, hashes: DataFrame, words: int, text_col: str) -> DataFrame:
-    """set, shingles of the texts whose hash is among hashes(h)."""
+def _may_reach(least: tuple[int, int], n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that meet first at places at and to can reach the similarity."""
+    num, den = least
+    most = np.minimum(n - at, m - to)
+    return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (most * (den + num) >= (n + m) * num)
 
-    def run(batches):
+
+def _pairs(cells: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, least: tuple[int, int], split: np.ndarray | None = None):
+    """(places, places) of the pairs of each key that the trie finds within the budget, that
+    can reach the similarity and that are not linked yet (part). Fingerprints ascend within a key."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    n, at, part = cells["n"].astype(np.int64), cells["at"].astype(np.int64), cells["part"]
+
+    def near(a: np.ndarray, b: np.ndarray) -> None:
+        ok = (part[a] != part[b]) & _may_reach(least, n[a], at[a], n[b], at[b])
+        found.append((a[ok], b[ok]))
+
+    Joiner(cells["fp"], BUDGET).walk(starts, ends, split, near)
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _met(docs: DataFrame, words: int, least: tuple[int, int], common: np.ndarray, ranges: int, text_col: str) -> DataFrame:
+    """u, v: pairs named at shingles of few sets, and each set with one set at the others;
+    for those also the members: key, u (the set), n, at, fp. A task holds one range of keys."""
+    num, den = least
+
+    def prefix(found: np.ndarray) -> np.ndarray:
+        if len(common):
+            late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+            found = np.concatenate([found[~late], found[late]])
+        return found[: len(found) - (num * len(found) + den - 1) // den + 1]
+
+    def send(batches):
         import pyarrow as pa
 
         for batch in batches:
             for piece in slices(batch):
-                sets = [shingle_set(t, words) for t in piece.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["set", "shingles"])
-
-    hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST else hashes
-    texts = docs.select(F.col(text_col).alias("text")).join(hashes, F.xxhash64("text") == F.col("h"), "left_semi")
-    return texts.dropDuplicates(["text"]).mapInArrow(run, "set long, shingles array<long>")
-
+                seen, out = set(), []
+                for text in piece.column(0).to_pylist():
+                    found = shingle_set(text, words)
+                    name = _set_id(found)
+                    if not len(found) or name in seen:
+                        continue
+                    seen.add(name)
+                    first = prefix(found)
+                    key = hash_keys(first.view(np.uint64), ranges)
+                    cells = np.zeros(len(first), CELL)
+                    cells["lo"], cells["hi"], cells["set"], cells["n"] = key & 0xFFFFFFFF, (key >> 32) & 0xFF, name, len(found)
+                    cells["fp"], cells["at"] = fingerprint(found.view(np.uint64)), np.minimum(np.arange(len(first)), 65535)
+                    out.append((key >> 40, cells))
+                if not out:
+                    continue
+                part, cells = (np.concatenate(x) for x in zip(*out, strict=True))
+                order = np.argsort(part, kind="stable")
+                part, cells = part[order].astype(np.int64), cells[order]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                raw = [cells[s:e].tobytes() for s, e in zip(cuts, np.append(cuts[1:], len(cells)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(raw, pa.binary())], ["part", "cells"])
+
+    def meet(batches):
+        import pyarrow as pa
 
-def _may_reach(least: tuple[int, int], n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Sets of n and m shingles that meet first at places at and to can reach the similarity."""
+        names = ["u", "v", "key", "n", "at", "fp"]
+
+        def give(*columns):
+            arrays = [pa.array(c, pa.int64()) if c is not None else pa.nulls(len(columns[0]), pa.int64()) for c in columns]
+            yield from pa.Table.from_arrays(arrays, names).to_batches(max_chunksize=100_000)
+
+        for group in whole_keys(batches, 0, 0):
+            c = np.concatenate([np.frombuffer(x, CELL) for x in group.column(1).to_pylist()])
+            key = c["lo"].astype(np.int64) | c["hi"].astype(np.int64) << 32 | group.column(0)[0].as_py() << 40
+            order = np.lexsort((c["set"], c["fp"], key))
+            c, key = c[order], key[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (c["set"][1:] != c["set"][:-1])])
+            c, key = c[new], key[new]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            size = ends - starts
+            sets, cells = c["set"], {k: np.ascontiguousarray(c[k]) for k in ("fp", "n", "at")} | {"part": c["set"]}
+            few = (size > 1) & (size <= FEW)
+            a, b = _pairs(cells, starts[few], ends[few], least)
+            many = np.flatnonzero(size > FEW)
+            for k in many:
+                hub, at = starts[k], np.arange(starts[k] + 1, ends[k])
+                close = np.bitwise_count(cells["fp"][at] ^ cells["fp"][hub]) <= BUDGET
+                n, place = c["n"].astype(np.int64), c["at"].astype(np.int64)
+                at = at[close & _may_reach(least, n[at], place[at], n[hub], place[hub])]
+                a, b = np.concatenate([a, np.full(len(at), hub)]), np.concatenate([b, at])
+            if len(a):
+                u, v = np.minimum(sets[a], sets[b]), np.maximum(sets[a], sets[b])
+                once = np.unique(np.stack([u, v], axis=1), axis=0)
+                yield from give(once[:, 0], once[:, 1], None, None, None, None)
+            for k in many:
+                s = slice(starts[k], ends[k])
+                yield from give(sets[s], None, key[s], c["n"][s], c["at"][s], c["fp"][s].view(np.int64))
+
+    texts = docs.select(F.col(text_col).alias("text"))
+    schema = "u long, v long, key long, n long, at long, fp long"
+    return texts.mapInArrow(send, "part long, cells binary").repartition("part").sortWithinPartitions("part").mapInArrow(meet, schema)
+
+
+def _apart(members: DataFrame, least: tuple[int, int], key_rows: int) -> DataFrame:
+    """u, v: the pairs that the trie names at shingles of many sets; members has key, set, part,
+    n, at, fp. A shingle of over key_rows sets is dealt into pairs of parts.
+
+    Sets that meet late in both prefixes can't reach the similarity, and sets of one part
+    are linked already. So early sets are joined with all, and the largest part only with the
+    rest: sets that share a common passage and little else, or are copies of one text, cost
+    no comparison among themselves.
+    """
     num, den = least
-    most = F.least(n - at, m - to)
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (most * (den + num) >= (n + m) * num)
 
+    def joined(c: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray | None):
+        """Pairs of the places in left with those in right, or of left among themselves."""
+        at = left if right is None else np.concatenate([left, right])
+        if not len(at):
+            return at, at
+        side = np.zeros(len(at), np.int8) if right is None else np.repeat(np.array([0, 1], np.int8), [len(left), len(right)])
+        order = np.lexsort((c["fp"][at], side, c["key"][at]))
+        at, side = at[order], side[order]
+        mine = {k: np.ascontiguousarray(x[at]) for k, x in c.items()}
+        starts = np.flatnonzero(np.concatenate([[True], mine["key"][1:] != mine["key"][:-1]]))
+        ends = np.append(starts[1:], len(at))
+        ok = (ends - starts > 1) if right is None else (side[starts] == 0) & (side[ends - 1] == 1)
+        starts, ends = starts[ok], ends[ok]
+        if not len(starts):
+            return at[:0], at[:0]
+        split = None
+        if right is not None:
+            ones = np.concatenate([[0], np.cumsum(side)])
+            split = ends - (ones[ends] - ones[starts])
+        a, b = _pairs(mine, starts, ends, least, split)
+        return at[a], at[b]
 
-def _paired(met: DataFrame, least: tuple[int, int], also: Column | None = None) -> DataFrame:
-    """u, v: the pairs of sets of each key that can reach the similarity."""
-    other = met.select(*[F.col(c).alias(f"o_{c}") for c in met.columns])
-    pairs = met.join(other, F.col("key") == F.col("o_key")).where("set < o_set").where(F.lit(True) if also is None else also)
-    return pairs.where(_may_reach(least, F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"))).select(F.col("set").alias("u"), F.col("o_set").alias("v"))
+    def run(batches):
+        import pyarrow as pa
 
+        for group in whole_keys(batches, 0, key_rows):
+            c = {k: group.column(i).to_numpy() for i, k in enumerate(("key", "side", "fp", "set", "part", "n", "at")) if k != "side"}
+            c["fp"] = c["fp"].view(np.uint64)
+            order = np.lexsort((c["part"], c["key"]))
+            c = {k: np.ascontiguousarray(x[order]) for k, x in c.items()}
+            block = np.cumsum(np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["part"][1:] != c["part"][:-1])])) - 1
+            size = np.bincount(block)[block]
+            heads = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
+            key = np.cumsum(np.concatenate([[True], c["key"][1:] != c["key"][:-1]])) - 1
+            # of a key's largest parts the first
+            first = np.full(len(heads), len(block))
+            top = size == np.maximum.reduceat(size, heads)[key]
+            np.minimum.at(first, key[top], block[top])
+            largest = block == first[key]
+            early = (c["n"] - c["at"]) * (den + num) >= 2 * c["n"] * num
+            at = np.arange(len(block))
+            pick = lambda m: at[m]
+            for left, right in ((largest & early, ~largest), (largest & ~early, ~largest & early), (~largest & early, None), (~largest & early, ~largest & ~early)):
+                a, b = joined(c, pick(left), None if right is None else pick(right))
+                u, v = np.minimum(c["set"][a], c["set"][b]), np.maximum(c["set"][a], c["set"][b])
+                once = np.unique(np.stack([u, v], axis=1), axis=0)
+                yield from pa.Table.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["u", "v"]).to_batches(max_chunksize=100_000)
+
+    # rows of one side of a dealt key meet in other tasks too, where the pair is named again
+    dealt = deal(members.select("key", "fp", "set", "part", "n", "at"), key_rows)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def _confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """The pairs u, v whose exact similarity reaches the bound.
+
+    Each pair's texts come together at u; a u with many pairs is dealt in parts.
+    """
+    num, den = least
+    pairs = cut(pairs.distinct())
+    hubs = pairs.groupBy(F.col("u").alias("hub")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    dealt = pairs.join(hubs, F.col("u") == F.col("hub")).select("hub", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("set"), F.lit(1).alias("role"))
+    wanted = cut(dealt.unionByName(dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("set"), F.lit(0).alias("role"))))
+    # of the rows with equal shingles one stands for all
+    mine = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    best = rows.join(wanted.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(mine).alias("best"))
+    places = wanted.groupBy(F.col("set").alias("w_set")).agg(F.collect_list(F.struct("hub", "part", "role")).alias("places"))
+    best = cut(best.join(places, F.col("set") == F.col("w_set")).select(F.col("set").alias("b_set"), F.col("best.id").alias("b_id"), F.col("best.h").alias("b_h"), "places"))
+    best = F.broadcast(best) if best.count() <= BROADCAST and wanted.count() <= BROADCAST else best
+    texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"))
+    texts = texts.join(best, (F.xxhash64("text") == F.col("b_h")) & F.col("t_id").eqNullSafe(F.col("b_id")))
+    texts = texts.select(F.explode("places").alias("p"), F.col("b_set").alias("set"), "text").select("p.hub", "p.part", "p.role", "set", "text")
 
-def similar_links(docs: DataFrame, rows: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, text_col: str = "text") -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        place, hub, last = None, None, None
+        for batch in batches:
+            for piece in slices(batch):
+                out = []
+                for h, part, role, name, text in zip(*(piece.column(k).to_pylist() for k in range(5)), strict=True):
+                    if (h, part, role, name) == last:  # a repeated row
+                        continue
+                    last = (h, part, role, name)
+                    own = shingle_set(text, words)
+                    if role == 0:
+                        place, hub = (h, part), own
+                    elif place == (h, part) and len(np.intersect1d(hub, own, assume_unique=True)) * (den + num) >= (len(hub) + len(own)) * num:
+                        out.append((h, name))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return cut(texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "set").mapInArrow(run, "u long, v long"))
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
     """u, v: links between sets whose transitive closure is that of all pairs at or over the bound."""
-    num, den = least
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * (least[1] - least[0]) // least[1] // RANGE_KEYS + 1)
+    met = cut(_met(docs, words, least, _common(docs, words, text_col), ranges, text_col))
+    first = _confirmed(docs, rows, met.where("v is not null").select("u", "v"), words, least, id_col, text_col)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs u, v whose exact similarity reaches the bound."""
-        pairs = cut(pairs.distinct())
-        mine = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
-        wanted = cut(rows.join(mine, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("h")).select("h"))
-        sets = cut(_sets(docs, wanted, words, text_col))
-        one = sets.select(F.col("set").alias("u"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("set").alias("v"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return cut(pairs.join(one, "u").join(two, "v").where(both * (den + num) >= (F.size("x") + F.size("y")) * num).select("u", "v"))
-
-    flat = rows.select("set", "n", F.posexplode("keys").alias("at", "key"))
-    shared = cut(flat.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    met = cut(flat.join(shared, F.col("key") == F.col("k")).select("key", "set", "n", "at").distinct())
-    # own tables, so that a common shingle's join can be split
-    hubs = cut(met.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("set", "n", "at")).alias("hub"), F.count("*").alias("c")).where("c > 1"))
-    large = hubs.where(F.col("c") > FEW)
-    star = met.join(large, F.col("key") == F.col("k")).where(F.col("set") != F.col("hub.set"))
-    star = star.where(_may_reach(least, F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.set").alias("u"), F.col("set").alias("v"))
-    small = met.join(hubs.where(F.col("c") <= FEW).select("k"), F.col("key") == F.col("k"), "left_semi")
-    first = confirmed(_paired(small, least).unionByName(star))
-
-    # large shingles in which sets are still apart
-    wide = cut(met.join(large.select("k"), F.col("key") == F.col("k"), "left_semi"))
+    # shingles of many sets in which sets are still apart
+    wide = met.where("v is null").select("key", F.col("u").alias("set"), "n", "at", "fp")
     if wide.isEmpty():
         return first
-    placed = cut(wide.join(components(first), F.col("set") == F.col("node"), "left").select("key", "set", "n", "at", F.coalesce("component", "set").alias("part")))
-    apart = placed.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("k")
-    placed = cut(placed.join(cut(apart), F.col("key") == F.col("k"), "left_semi"))
-    return first if placed.isEmpty() else first.unionByName(confirmed(_paired(placed, least, F.col("part") != F.col("o_part"))))
+    placed = cut(wide.join(components(first), F.col("set") == F.col("node"), "left").select("key", "set", "n", "at", "fp", F.coalesce("component", "set").alias("part")))
+    apart = cut(placed.groupBy(F.col("key").alias("k")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("k"))
+    placed = cut(placed.join(apart, F.col("key") == F.col("k"), "left_semi"))
+    if placed.isEmpty():
+        return first
+    return first.unionByName(_confirmed(docs, rows, _apart(placed, least, key_rows), words, least, id_col, text_col))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, group for every row: groups are closed under similarity num/den or more.
 
-    Texts without words are one group. Null ids are ordinary rows; repeated rows come out repeated.
+    Texts without words are one group. Null ids are ordinary rows; repeated rows come out
+    repeated, an empty table gives no rows; other columns are ignored. Sets of shingles are
+    told apart by a 64-bit hash.
     """
-    common = _common(docs, words, text_col)
-    rows = cut(_prefixes(docs, words, least, common, id_col, text_col))
-    groups = components(similar_links(docs, rows, words, least, text_col))
+    rows = cut(_rows(docs, words, id_col, text_col))
+    groups = components(similar_links(docs, rows, words, least, id_col, text_col))
     return rows.join(groups, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "set").alias("group"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each group of similar texts: the least id stays, null last."""
+    """docs without all but one row of each group of similar texts: the least id stays, null last.
+
+    All columns are kept as they are.
+    """
     return keep_least(docs, similar_groups(docs, words, least, id_col, text_col), id_col, text_col)
