@@ -1,8 +1,9 @@
 """A corpus pipeline over the documents table: rules, near-dedup, redaction, mix, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. Documents without text are empty; documents without
-an id are ordinary rows; other columns pass through.
+return the columns of documents. In every stage documents without text are empty, documents
+without an id are ordinary rows, repeated rows are rows like others until near-dedup leaves
+one of them, empty tables give no rows and other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 of 5-word shingles) stays."""
+    """One document of each group of near duplicates stays: SimHash fingerprints of 5-word shingles,
+    joined by the trie down to a similarity of 0.8."""
     return similar.keep_one(docs)
 
 
@@ -67,7 +69,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents table; each stage is written and read again."""
+    """The last stage's rows for the documents table; each stage is written and read again.
+
+    What a stage has read is removed once its own rows are written whole.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -75,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{top}/{k}")
             docs = spark.read.parquet(f"{top}/{k}")
+            if k:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{k - 1}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
