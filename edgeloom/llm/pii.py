@@ -362,7 +362,7 @@ class Writer:
             lead = self.pick(*yes) + (self.pick("us on ", "me: ", "is ") if self.rnd.random() < 0.2 else "") if p < 0.8 else self.pick(*no) if p < 0.82 else ""
         else:
             lead = self.pick(*no) + self.pick("", "", "no. ", "#") if p < 0.55 else self.pick(*yes) + self.pick(*no) if p < 0.65 else self.pick(*yes) if p < 0.655 else self.digit(self.pick(1, 3)) + self.pick(" ", ", ") if p < 0.78 else ""
-        after = f" {self.digit(16)} " if good and self.kind == "phone" and value[0] in "+(" and p < 0.1 else self.pick(" ", ".", ", ", "", ";") if good or self.rnd.random() < 0.7 else self.pick("x ", "/2 ", "#", "_a ", " " + self.digit(3) + " ")
+        after = f" {self.digit(16)} " if good and self.kind == "phone" and value[0] in "+(" and p < 0.1 else self.pick(" ", ". ", ", ", "; ", "\n") if good or self.rnd.random() < 0.7 else self.pick("x ", "/2 ", "#", "_a ", " " + self.digit(3) + " ")
         if self.rnd.random() < 0.05:
             after = f" ({yes[0].strip(' :')})"
         text = filler + lead + value + after + self.plain() + " " + self.name()
