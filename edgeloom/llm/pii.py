@@ -101,6 +101,8 @@ SHARED = (
     ("glued after", "tail", r"^[A-Za-z0-9_#/=@-]"),
     ("numbers before", "lead", r"[0-9][^A-Za-z]{0,3}$"),
     ("numbers after", "tail", r"^[^A-Za-z]{0,3}[0-9]"),
+    ("phone before", "lead", r"[0-9]{3}[\x20.-][0-9]{4} $"),
+    ("long number after", "tail", r"^ [0-9]{4}"),
     ("against", "lead", AGAINST),
     ("label before", "lead", r"[:=] ?$"),
 )
@@ -343,6 +345,8 @@ class Writer:
             return sep.join([self.digit(self.pick(2, 4)), self.digit(3), self.digit(4)])
         if p < 0.7:
             return f"({self.digit(self.pick(2, 4))}) {self.digit(3)}{sep}{self.digit(4)}"
+        if p < 0.8:
+            return "00" + self.digit(self.pick(9, 10, 11, 12, 13, 14))
         return sep.join([self.digit(3), self.digit(4)])
 
     def text(self) -> tuple[str, int, int, bool]:
@@ -362,7 +366,10 @@ class Writer:
             lead = self.pick(*yes) + (self.pick("us on ", "me: ", "is ") if self.rnd.random() < 0.2 else "") if p < 0.8 else self.pick(*no) if p < 0.82 else ""
         else:
             lead = self.pick(*no) + self.pick("", "", "no. ", "#") if p < 0.55 else self.pick(*yes) + self.pick(*no) if p < 0.65 else self.pick(*yes) if p < 0.655 else self.digit(self.pick(1, 3)) + self.pick(" ", ", ") if p < 0.78 else ""
-        after = f" {self.digit(16)} " if good and self.kind == "phone" and value[0] in "+(" and p < 0.1 else self.pick(" ", ". ", ", ", "; ", "\n") if good or self.rnd.random() < 0.7 else self.pick("x ", "/2 ", "#", "_a ", " " + self.digit(3) + " ")
+        beside = good and self.rnd.random() < 0.15  # another personal number next to it
+        if beside and self.kind == "card":
+            lead = f"{self.pick('+1 ', '')}({self.digit(3)}) {self.digit(3)}-{self.digit(4)} "
+        after = f" {self.digit(16, '3456')} " if beside and self.kind == "phone" and value[0] in "+(" else self.pick(" ", ". ", ", ", "; ", "\n") if good or self.rnd.random() < 0.7 else self.pick("x ", "/2 ", "#", "_a ", " " + self.digit(3) + " ")
         if self.rnd.random() < 0.05:
             after = f" ({yes[0].strip(' :')})"
         text = filler + lead + value + after + self.plain() + " " + self.name()
