@@ -10,6 +10,8 @@ shuffled, only bucket counts are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ from .common import SPACE, cut, let
 BUCKETS = 10_000
 #: Additive smoothing of bucket counts, and n-grams without weight added to each document.
 ALPHA, SHRINK = 1.0, 40
-#: Trusted rows that the target multinomial and the threshold are fitted on, at most.
-FIT_ROWS = 20_000
+#: Trusted ids that one pass over the documents broadcasts; more take more passes.
+PIECE = 1_000_000
+#: Scores that the threshold's first count takes together.
+STEP = 4096
 #: Share of trusted documents that may fall below the threshold, and the gap below it.
 LOSS, MARGIN = 0.001, 20_000
 WINDOW = 8
@@ -70,11 +74,17 @@ def rules(text: Column, words: Column) -> list[Column]:
     ]
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", good: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """At most fit_rows ids of trusted rows, by a seeded hash: a proven bound for broadcasting."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", good: Column | None = None) -> DataFrame:
+    """All ids of trusted rows, each once."""
     good = (F.col("quality") == 1) if good is None else good
-    ids = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id"))
-    return cut(ids.groupBy("t_id").agg(F.xxhash64("t_id").alias("h")).orderBy("h", "t_id").limit(fit_rows).select("t_id"))
+    return cut(labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id")).distinct())
+
+
+def _pieces(trusted: DataFrame) -> list[DataFrame]:
+    """The trusted ids in parts of about PIECE ids by hash: a bound for broadcasting."""
+    n = max(1, -(-trusted.count() // PIECE))
+    place = F.pmod(F.xxhash64(F.lit("piece"), "t_id"), F.lit(n))
+    return [trusted] if n == 1 else [trusted.where(place == k) for k in range(n)]
 
 
 def fold_of(trusted_id: Column) -> Column:
@@ -88,14 +98,19 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 
     So scores of unseen trusted rows and of all other rows are on one scale.
 
-    Counts cover all words and pairs of all documents; only buckets are shuffled.
+    Counts cover all words and pairs of all documents; only buckets are shuffled. The first
+    pass counts the corpus and the first piece of the trusted ids, each further one a piece.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(trusted), F.col("doc_id") == F.col("t_id"), "left")
     own = lambda k: (F.col("t_id").isNotNull() & (fold_of(F.col("t_id")) == k)).cast("long").alias(f"own{k}")
-    rows = rows.select(own(0), own(1), words_of(F.col("text")).alias("words"))
-    each = rows.select("own0", "own1", F.explode(buckets_of(F.col("words"))).alias("b"))
-    counts = each.groupBy("b").agg(F.sum("own0").alias("t0"), F.sum("own1").alias("t1"), F.count("*").alias("r"))  # BUCKETS rows at most
+    counts = None
+    for k, piece in enumerate(_pieces(trusted)):
+        mine = rows.join(F.broadcast(piece), F.col("doc_id") == F.col("t_id"), "inner" if k else "left")
+        mine = mine.select(own(0), own(1), words_of(F.col("text")).alias("words"))
+        each = mine.select("own0", "own1", F.explode(buckets_of(F.col("words"))).alias("b"))
+        found = each.groupBy("b").agg(F.sum("own0").alias("t0"), F.sum("own1").alias("t1"), F.sum(F.lit(0 if k else 1)).alias("r"))  # BUCKETS rows at most
+        # one pass and one broadcast at a time
+        counts = found if counts is None else cut(counts).unionByName(found).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "r")])
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("k"))
     counts = every.join(counts, F.col("k") == F.col("b"), "left").select("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t0", "t1", "r")])
     line = counts.agg(F.sort_array(F.collect_list(F.struct("k", "t0", "t1", "r"))).alias("x"), *[F.sum(c).alias(f"s_{c}") for c in ("t0", "t1", "r")])
@@ -122,13 +137,41 @@ def threshold(docs: DataFrame, trusted: DataFrame, halves: list[Column], id_col:
 
     Each is scored by the half it is not in, as an unseen document would be.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), F.col("doc_id") == F.col("t_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     unseen = lambda w: F.when(fold_of(F.col("t_id")) == 0, score(w, halves[0])).otherwise(score(w, halves[1]))
-    scored = rows.select(let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= 20, unseen(w))).alias("s"))
-    least = scored.agg(F.percentile("s", F.lit(LOSS)).alias("p")).first()[0]
+    of_one = let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= 20, unseen(w))).alias("s")
+    scored = [cut(rows.join(F.broadcast(x), F.col("doc_id") == F.col("t_id")).select(of_one)) for x in _pieces(trusted)]
+    least = _percentile(reduce(DataFrame.unionByName, scored), LOSS)
     return -(2**62) if least is None else int(least) - MARGIN
 
 
+def _percentile(scores: DataFrame, share: float) -> float | None:
+    """The exact percentile of the whole numbers s, between neighbours in proportion.
+
+    Numbers are counted by steps, then singly within the steps of the two that decide.
+    """
+    step = F.floor(F.col("s") / STEP)
+    scores = scores.where("s is not null")
+    steps = sorted((x, n) for x, n in scores.groupBy(step.alias("x")).count().collect())  # the range of scores over STEP rows at most
+    if not steps:
+        return None
+
+    def place(counts: list[tuple[int, int]], rank: int) -> tuple[int, int]:
+        """The number at a 0-based rank, and the rank within that number's rows."""
+        for x, n in counts:
+            if rank < n:
+                return x, rank
+            rank -= n
+        raise ValueError("rank beyond the counts")
+
+    at = (sum(n for _, n in steps) - 1) * share
+    ends = []
+    for rank in (int(at), -int(-at // 1)):
+        x, left = place(steps, rank)
+        ends.append(place(sorted((s, n) for s, n in scores.where(step == x).groupBy("s").count().collect()), left)[0])
+    return ends[0] + (ends[1] - ends[0]) * (at - int(at))
+
+
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, document (the row itself), the rules' counts, base_failed, score and kept for every row.
 

@@ -638,3 +638,26 @@ def test_rebalancing():
     assert all(b == 10 for a, b in zip(old, grown, strict=True) if a != b)
     fewer = sharding.rebalance(old, weights, 9)
     assert all(a == 9 for a, b in zip(old, fewer, strict=True) if a != b) or max(load(fewer, 9, weights)) <= 1.05 * sum(weights.values()) / 9
+
+
+def test_quality_takes_all_trusted_rows(spark, monkeypatch):
+    """No trusted row is left out of the fit, and passes over pieces of them add up to one pass."""
+    many = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_ids(many.unionByName(many)).count() == 20_500
+    df = frame(spark, [(k, f"the cat number{k % 7} sat on mat{k % 5} and the dog{k % 3} ran home " * 3) for k in range(60)] + [(3, None)])
+    trusted = quality.trusted_ids(many.where("doc_id < 40"))
+    once = counted((r.doc_id, r.score, r.kept) for r in quality.judge(df, trusted).collect())
+    halves = quality.weights(df, trusted)[1]
+    least = quality.threshold(df, trusted, halves)
+    monkeypatch.setattr(quality, "PIECE", 9)
+    assert len(quality._pieces(trusted)) == 5
+    assert counted((r.doc_id, r.score, r.kept) for r in quality.judge(df, trusted).collect()) == once
+    assert quality.threshold(df, trusted, halves) == least
+
+
+def test_quality_percentile_is_exact(spark):
+    rnd = random.Random(3)
+    values = spark.createDataFrame([(rnd.randint(-60_000, 60_000),) for _ in range(400)] + [(None,), (-1,), (-1,)], "s long")
+    for share in (0.0, 0.001, 0.25, 0.5, 1.0):
+        assert quality._percentile(values, share) == pytest.approx(values.agg(F.percentile("s", F.lit(share))).first()[0], abs=1e-6)
+    assert quality._percentile(values.where("s is null"), 0.5) is None
