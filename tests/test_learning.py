@@ -90,3 +90,33 @@ def test_network(spark):
         network.by_pathway(p, ["C"], 0.5)
     with pytest.raises(ValueError):
         network.by_label(p, "Z", 0.5)
+
+
+@pytest.mark.parametrize(("block", "meetings"), [(1000, 1_000_000), (7, 20)])
+def test_neighbours_are_brute_force(spark, monkeypatch, block, meetings):
+    """The votes of the k nearest of all rows, repeated ones as often as they occur; ids divisible by 50 ask."""
+    import random
+
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(models, "BLOCK", block)
+    monkeypatch.setattr(models, "MEETINGS", meetings)
+    rnd, k = random.Random(4), 3
+    vectors = [{j: rnd.randint(0, 3) for j in rnd.sample(range(30), rnd.randint(0, 6))} for _ in range(70)]
+    vectors += vectors[:10]
+    data = [(n, Vectors.sparse(30, v), float(rnd.randint(0, 1))) for n, v in enumerate(vectors)]
+    rows = spark.createDataFrame(data, ["id", "features", "label"]).repartition(3)
+    got = {r.id: r.p for r in models.positive(models.Neighbours(k).fit(rows).transform(rows.where("id % 2 = 0").select("id", "features")), "p").collect()}
+    hashed = {r.id: r.h for r in rows.select("id", F.xxhash64("features", "label").alias("h")).collect()}
+    assert sorted(got) == list(range(0, 80, 2))
+    for n in got:
+        far = sorted((data[n][1].squared_distance(x), hashed[m], y) for m, x, y in data)[:k]
+        assert got[n] == pytest.approx(sum(y for _, _, y in far) / k)
+
+
+def test_registered_search_asks_ids_divisible_by_50(spark, tmp_path):
+    from edgeloom import contract
+
+    spark.createDataFrame([(k, f"a{k % 4} b{k % 3} c") for k in range(101)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(101)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in contract.nearest_neighbours(spark, f"file://{tmp_path}").collect()) == [0, 50, 100]
