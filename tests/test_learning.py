@@ -120,3 +120,15 @@ def test_registered_search_asks_ids_divisible_by_50(spark, tmp_path):
     spark.createDataFrame([(k, f"a{k % 4} b{k % 3} c") for k in range(101)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, k % 2, 0) for k in range(101)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(r.doc_id for r in contract.nearest_neighbours(spark, f"file://{tmp_path}").collect()) == [0, 50, 100]
+
+
+def test_chained_vectors_name_no_terms(spark, learning):
+    """Earlier labels stand behind the features, as VectorAssembler puts them, without a name per term."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = Pipeline(stages=models.vectorizer("text")).fit(learning).transform(learning)
+    want = VectorAssembler(inputCols=["features", "y_a", "y_b"], outputCol="want").transform(rows)
+    out = want.select("want", models._behind("features", ["y_a", "y_b"]).alias("got"))
+    assert all(r.got.size == r.want.size and (r.got.toArray() == r.want.toArray()).all() for r in out.collect())
+    assert "attrs" not in str(out.schema["got"].metadata) and "attrs" in str(out.schema["want"].metadata)
