@@ -91,3 +91,49 @@ def test_budget_covers_the_bound():
             assert 5 * (n - n // 9) >= 4 * (n + n // 9) or n < 10
             far.append((similar.fingerprint(a) ^ similar.fingerprint(b)).bit_count())
     assert max(far) <= similar.BUDGET and 6 < np.mean(far) < 12
+
+
+def test_near_copies_name_few_pairs(spark, monkeypatch):
+    """Of near copies around the bound a forest of pairs and what it leaves apart are compared, not all pairs; groups are those of brute force."""
+    monkeypatch.setattr(similar, "FEW", 2)
+    rnd, named, confirmed = random.Random(3), [], similar._confirmed
+    monkeypatch.setattr(similar, "_confirmed", lambda docs, sets, pairs, *a: named.append(pairs.distinct().count()) or confirmed(docs, sets, pairs, *a))
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(160):
+        words = list(base)
+        for at in rnd.sample(range(4, 146), rnd.choice((1, 2, 2))):
+            words[at] = f"new{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    rows = similar._rows(docs, 5, "doc_id", "text").cache()
+    found = {r.node: r.component for r in similar.components(similar.similar_links(docs, rows)).collect()}
+    got, want = [found.get(r.set, r.set) for r in sorted(rows.collect(), key=lambda r: r.doc_id)], groups_of(texts)
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True))) < 40
+    assert sum(named) < 8 * len(texts)
+
+
+def test_sketches_never_exceed_the_difference():
+    """Sketches of sets of any sizes differ in no more bits than the sets in shingles, and tell most far sets apart."""
+    import numpy as np
+
+    rnd, sets = np.random.default_rng(2), []
+    for n in (0, 1, 15, 16, 17, 40, 64, 65, 150, 1030, 3000):
+        pool = rnd.integers(-(2**63), 2**63 - 1, n + n // 5 + 1)
+        sets += [np.unique(pool[:n]), np.unique(pool[-n:] if n else pool[:0]), np.unique(pool)]
+    sketches = similar.Sketches([similar.sketch(x) for x in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    assert sketches.within(a, b, apart).all()
+    size = np.array([len(x) for x in sets])
+    close = (np.minimum(size[a], size[b]) >= 40) & (np.maximum(size[a], size[b]) <= 1300) & (apart > 0) & (2 * apart < size[a] + size[b])
+    assert close.sum() > 8 and not sketches.within(a, b, apart * 2 // 3)[close].any()
+
+
+def test_forest_keeps_what_links():
+    import numpy as np
+
+    root = np.array([0, 0, 2, 3, 4, 4])
+    a, b = np.array([1, 0, 2, 1, 3, 5]), np.array([0, 2, 1, 3, 2, 4])
+    kept = similar._forest(root, a, b)
+    assert len(kept) == 2 and {(int(a[k]), int(b[k])) for k in kept} <= {(0, 2), (2, 1), (1, 3), (3, 2)}
+    assert not len(similar._forest(root, a, b))
