@@ -140,6 +140,41 @@ def test_components_of_a_long_path(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("one", [0, 10**6])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, one):
+    """Long paths, hubs and repeated edges give the same components whether they are many edges or few."""
+    from edgeloom.llm import components
+
+    monkeypatch.setattr(components, "ONE", one)
+    rnd = random.Random(one)
+    pairs = [(k, k + 1) for k in range(60)] + [(-k, 1000) for k in range(70, 90)] + [(3, 3), (7, 6)]
+    pairs += [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(40)] * 2
+    root = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for u, v in pairs:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    edges = spark.createDataFrame([(u * 2**40, v * 2**40) for u, v in pairs], "u long, v long").repartition(5)
+    assert {r.node: r.component for r in components.components(edges).collect()} == {u * 2**40: v * 2**40 for u, v in root.items()}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_few_edges_take_few_tasks(spark):
+    """A short list of edges is not sent through rounds of shuffles, each with as many files and events as there are partitions."""
+    from edgeloom.llm.components import components
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert components(edges).count() == 41
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("components") for s in status.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(status.getStageInfo, stages) if x)
+    assert 0 < tasks < 30
+
+
 # ---- mixing
 
 
