@@ -1,6 +1,6 @@
 """Connected components of an edge list, in one task or by alternating large and small stars.
 
-Up to ONE edges are one task's work: a round of stars costs eight shuffles, whose files,
+Up to ONE edges are one task's work: a round of stars costs up to eight shuffles, whose files,
 and the events of whose tasks, take far more disk than a short list of edges. Beyond that, each
 round replaces edges by edges to the smallest neighbour; the number of rounds
 grows with the logarithm of the longest path. Nothing but two numbers a round
